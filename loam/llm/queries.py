@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe
 from .common import table
 from .near_dup import near_duplicates
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op7_simhash_near_dedup": op7_simhash_near_dedup}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {}
