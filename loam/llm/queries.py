@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam
+from . import bpe, decontam, pii
 from .common import table
 from .near_dup import near_duplicates
 
@@ -24,10 +24,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_pii_sanitisation": op9_pii_sanitisation,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontam.ORACLE}
