@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, pii
+from . import bpe, decontam, pii, quality_model
 from .common import table
 from .near_dup import near_duplicates
 
@@ -28,11 +28,16 @@ def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_pii_sanitisation": op9_pii_sanitisation,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontam.ORACLE}
