@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, pii, quality_model
+from . import bpe, decontam, pii, quality_model, quality_rules, url_filter
 from .common import table
 from .near_dup import near_duplicates
 
@@ -15,6 +15,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontam.contained_items(docs, items).drop("text_key")
@@ -24,6 +28,14 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The rules that decide first; longer ones win.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("accepted")
+
+
 def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -34,10 +46,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_pii_sanitisation": op9_pii_sanitisation,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontam.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.ORACLE,
+    "op6_benchmark_decontamination": decontam.ORACLE,
+}
