@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, pii, quality_model, quality_rules, url_filter
+from . import bpe, decontam, lang_id, pii, quality_model, quality_rules, substring_dedup, url_filter
 from .common import table
 from .near_dup import near_duplicates
 
@@ -15,6 +15,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -46,6 +54,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -55,6 +65,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op6_benchmark_decontamination": decontam.ORACLE,
 }
