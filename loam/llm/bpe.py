@@ -11,19 +11,20 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, utf8
-
-BLOCK_BYTES = 32 << 20
+from .arrays import Hasher
+from .blocks import BLOCK_BYTES, blocks, pack, unpack
+from .common import partitions
+from .pretokens import pretokens
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,26 +64,8 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return found
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """doc_id, block, packed: the texts compressed and dealt into blocks of about ``block_bytes``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = partitions(spark)
-    number = max(-(-total // block_bytes), min(12, parts))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(number)).cast("int"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in slices(batches, "text"):
-            packed = pa.array([squeeze(t) for t in utf8(batch.column("text"))], pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("block"), packed], names=["doc_id", "block", "packed"])
-
-    return rows.mapInArrow(pack, "doc_id long, block int, packed binary").repartition(parts, "block")
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids array<int> of every row of ``docs`` (doc_id, text).
+def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """doc_id, ids array<int> of every row of ``docs`` (doc_id, text); with ``decoded``, also what the ids decode to.
 
     Null and empty texts have no ids. Repeated rows and doc_ids give repeated rows, a null doc_id stays
     null, an empty table gives an empty result; other columns are ignored. Every match of ``pattern`` is
@@ -90,53 +73,104 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    packed = _blocks(docs, block_bytes)
+    back = spark.sparkContext.broadcast(TokenBytes(shared.value)) if decoded else None
+    parts = partitions(spark)
+    packed = blocks(docs, block_bytes).repartition(parts, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, unpack = regex.compile(pattern).findall, zstandard.ZstdDecompressor().decompress
-        words: dict[int, set[str]] = {}
+        words: dict[int, dict[int, bytes]] = {}
         for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                words.setdefault(block, set()).update(split(unpack(text).decode()))
-        for block, found in words.items():
-            listed = list(found)
-            for i in range(0, len(listed), 100_000):
-                part = pa.array(listed[i : i + 100_000], pa.string())
-                yield pa.record_batch([pa.array(np.full(len(part), block, np.int32)), part], names=["block", "word"])
+            for block, bundle in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
+                seen = words.setdefault(block, {})
+                flat, starts, ends, _ = pretokens(unpack(bundle.as_py())[0], pattern)
+                keys, place = np.unique(Hasher(flat)(starts, ends), return_index=True)
+                raw = flat.tobytes()
+                for key, a, b in zip(keys.tolist(), starts[place].tolist(), ends[place].tolist(), strict=True):
+                    if key not in seen:
+                        seen[key] = raw[a:b]
+        for block, seen in words.items():
+            dealt: list[list[bytes]] = [[] for _ in range(parts)]
+            for word in sorted(seen.values()):
+                dealt[zlib.crc32(word) % parts].append(word)
+            full = [i for i, x in enumerate(dealt) if x]
+            bundles = pa.array([pack(dealt[i]) for i in full], pa.binary())
+            yield pa.record_batch([pa.array(full, pa.int32()), pa.array(np.full(len(full), block, np.int32)), bundles], names=["bucket", "block", "packed"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = shared.value, {}
         for batch in batches:
             out = []
-            for word in utf8(batch.column("word")):
-                ids = seen.get(word)
-                if ids is None:
-                    if len(seen) > 2_000_000:
-                        seen.clear()
-                    ids = seen[word] = np.array(encode_word(word, ranks), "<i4").tobytes()
-                out.append(ids)
-            yield pa.record_batch([batch.column("block"), batch.column("word"), pa.array(out, pa.binary())], names=["block", "word", "ids"])
+            for bundle in batch.column("packed").to_pylist():
+                words, _ = unpack(bundle)
+                if len(seen) > 2_000_000:
+                    seen.clear()
+                for word in words:
+                    if word not in seen:
+                        seen[word] = encode_word(word, ranks)
+                ids = [seen[word] for word in words]
+                out.append(pack(words, list(map(len, ids)), list(chain.from_iterable(ids))))
+            yield pa.record_batch([batch.column("block"), pa.array(out, pa.binary())], names=["block", "packed"])
 
     def replace(texts: pa.Table, words: pa.Table) -> pa.Table:
-        split, unpack = regex.compile(pattern).findall, zstandard.ZstdDecompressor().decompress
-        number = {w: i for i, w in enumerate(words["word"].to_pylist())}
-        sizes = pc.binary_length(words["ids"]).to_numpy().astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(words["ids"].to_pylist()), "<i4")
-        first = np.cumsum(sizes) - sizes
-        out, lengths = [], []
-        for text in texts["packed"].to_pylist():
-            found = np.array([number[w] for w in split(unpack(text).decode())], np.int64)
-            size = sizes[found]
-            lengths.append(int(size.sum()))
-            shift = np.repeat(first[found] - (np.cumsum(size) - size), size)
-            out.append(flat[shift + np.arange(lengths[-1])])
-        offsets = np.r_[0, np.cumsum(lengths)]
-        ids = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
-        return pa.table({"doc_id": texts["doc_id"], "ids": ids.cast(pa.list_(pa.int32()))})
-
-    words = packed.mapInArrow(distinct, "block int, word string").repartition(partitions(spark), "word")
-    words = words.mapInArrow(once, "block int, word string, ids binary").repartition(partitions(spark), "block")
-    return packed.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(replace, "doc_id long, ids array<int>")
+        keys, lengths, chunks = [], [], []
+        for bundle in words["packed"]:
+            found, (counts, ids) = unpack(bundle.as_py())
+            ends = np.cumsum([len(w) for w in found])
+            keys.append(Hasher(np.frombuffer(b"".join(found), np.uint8))(np.r_[0, ends[:-1]], ends))
+            lengths.append(counts)
+            chunks.append(ids.astype(np.int32))
+        key, sizes, flat = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (lengths, np.int64), (chunks, np.int32)))
+        order = np.argsort(key)
+        first, sizes, key = (np.cumsum(sizes) - sizes)[order], sizes[order], key[order]
+        out, totals, names, known = [], [], [], []
+        for bundle in texts["packed"]:
+            found, (ids, valid) = unpack(bundle.as_py())
+            names.append(ids)
+            known.append(valid)
+            joined, starts, ends, counts = pretokens(found, pattern)
+            places = np.searchsorted(key, Hasher(joined)(starts, ends))
+            size = sizes[places]
+            done = np.cumsum(size)
+            out.append(flat[np.repeat(first[places] - (done - size), size) + np.arange(int(size.sum()))])
+            stops = np.r_[0, done][np.r_[0, np.cumsum(counts)]]
+            totals.append(np.diff(stops))
+        counts = np.concatenate(totals) if totals else np.zeros(0, np.int64)
+        every = np.concatenate(out) if out else flat[:0]
+        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(every, pa.int32()))
+        keys = pa.array(np.concatenate(names), pa.int64(), mask=np.concatenate(known) == 0) if names else pa.array([], pa.int64())
+        columns = {"doc_id": keys, "ids": ids}
+        if back:
+            columns["decoded"] = pa.array(back.value(every, counts), pa.binary())
+        return pa.table(columns)
+
+    words = packed.mapInArrow(distinct, "bucket int, block int, packed binary").repartition(parts, "bucket")
+    words = words.mapInArrow(once, "block int, packed binary").repartition(parts, "block")
+    return packed.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(replace, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+
+
+class TokenBytes:
+    """The token-byte table: the bytes of all tokens end to end, and their lengths by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = sorted((rank, token) for token, rank in ranks.items())
+        self.size = np.zeros(tokens[-1][0] + 1, np.int64)
+        self.size[[rank for rank, _ in tokens]] = [len(token) for _, token in tokens]
+        self.joined = b"".join(token for _, token in tokens)
+
+    def __call__(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of each text; ``ids`` of all of them, ``counts`` of each."""
+        if len(ids) and not (ids.max() < len(self.size) and ids.min() >= 0 and (self.size[ids] > 0).all()):
+            raise ValueError("an id is not in the token table")
+        n, edges, out = self.size[ids], np.r_[0, np.cumsum(counts)], []
+        first, flat = np.cumsum(self.size) - self.size, np.frombuffer(self.joined, np.uint8)
+        for a in range(0, len(counts), 64):  # some texts at a time: the index takes eight times their size
+            b = min(a + 64, len(counts))
+            own, size = ids[edges[a] : edges[b]], n[edges[a] : edges[b]]
+            ends = np.cumsum(size)
+            text = flat[np.repeat(first[own] - (ends - size), size) + np.arange(int(size.sum()))].tobytes()
+            stops = np.r_[0, ends][edges[a : b + 1] - edges[a]].tolist()
+            out += [text[x:y] for x, y in zip(stops[:-1], stops[1:], strict=True)]
+        return out
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -145,38 +179,24 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     The table has a row for each token of the rank file, so it's broadcast; null ids decode to nothing,
     an unknown id is an error. Rows and the other columns stay as they are.
     """
-    tokens = sorted((rank, token) for token, rank in read_ranks(ranks_path).items())
-    size = np.zeros(tokens[-1][0] + 1, np.int64)
-    for rank, token in tokens:
-        size[rank] = len(token)
-    shared = encoded.sparkSession.sparkContext.broadcast((b"".join(t for _, t in tokens), size))
+    shared = encoded.sparkSession.sparkContext.broadcast(TokenBytes(read_ranks(ranks_path)))
     schema = encoded.withColumn("decoded", F.lit(b"")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, size = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
-        first = np.cumsum(size) - size
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 lists = batch.column("ids")
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(ids) and not (size[ids] > 0).all():
-                    raise ValueError("an id is not in the token table")
                 counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                n = size[ids]
-                ends = np.cumsum(n)
-                text = joined[np.repeat(first[ids] - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
-                stops = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-                parts = [text[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
-                yield pa.record_batch([*batch.columns, pa.array(parts, pa.binary())], names=[*batch.schema.names, "decoded"])
+                yield pa.record_batch([*batch.columns, pa.array(shared.value(ids, counts), pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, through ``encode`` and ``decode``."""
-    decoded = decode(encode(docs, ranks_path, pattern), ranks_path)
-    return decoded.select(
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, through ``encode`` and its way back."""
+    return encode(docs, ranks_path, pattern, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

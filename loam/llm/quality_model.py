@@ -3,7 +3,8 @@
 Every word, and every word's shape (letter case, digits and symbols, runs collapsed), has a fixed sparse
 random index vector. Its word vector is the sum, over all its places in the whole corpus, of the index
 vectors around it and its own. Words are told apart by hash bucket, so the vectors are a table of fixed
-size. A document is the mean of its words' vectors and of its shapes' vectors. The network learns from a
+size. A document is the mean of its words' vectors, the mean of its shapes' vectors, and how alike neighbouring words'
+vectors are. The network learns from a
 bounded, documented number of labelled documents; a temperature fitted on a part of them that training
 does not see calibrates its probabilities.
 """
@@ -22,6 +23,7 @@ from .common import materialize, partitions, remainder, slices
 
 WORD_BUCKETS, SHAPE_BUCKETS, SIZE, NONZERO, REACH = 1 << 13, 1 << 11, 32, 4, 2
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
+INPUTS = 2 * SIZE + 1
 #: Labelled rows that the network is fitted on, at most: those of least hashed doc_id.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, SEED = 24, 60, 7
@@ -36,7 +38,7 @@ _SHAPE[ord("0") : ord("9") + 1] = ord("0")
 def index_vectors() -> np.ndarray:
     """For each bucket a vector with ``NONZERO`` entries of +1 or -1, others 0."""
     draw = np.random.default_rng(SEED)
-    table = np.zeros((BUCKETS, SIZE), np.float32)
+    table = np.zeros((BUCKETS, SIZE), np.int8)
     for _ in range(NONZERO):
         table[np.arange(BUCKETS), draw.integers(0, SIZE, BUCKETS)] = draw.choice([-1, 1], BUCKETS)
     return table
@@ -61,27 +63,24 @@ def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of all buckets, of unit length, and the buckets' counts over all of ``texts`` (text)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        total, count = np.zeros((BUCKETS, SIZE)), np.zeros(BUCKETS)
+        index = np.ascontiguousarray(index_vectors().T)
+        total, count = np.zeros((SIZE, BUCKETS)), np.zeros(BUCKETS)
         for batch in slices(batches, "text", 1 << 20):
             words, shapes, counts = units(batch.column(0))
             row = np.empty(2 * len(words), np.int64)
             row[0::2], row[1::2] = words, shapes
             if not len(row):
                 continue
-            text = np.repeat(np.arange(len(counts)), 2 * counts)
-            around = index[row]
-            for shift in range(1, 2 * REACH + 1):
-                same = (text[shift:] == text[:-shift])[:, None]
-                near = index[row]
-                around[shift:] += near[:-shift] * same
-                around[:-shift] += near[shift:] * same
-            order = np.argsort(row, kind="stable")
-            at = np.flatnonzero(np.r_[True, np.diff(row[order]) > 0])
-            total[row[order][at]] += np.add.reduceat(around[order], at, axis=0)
+            size = 2 * counts
+            last, place = np.repeat(np.cumsum(size), size), np.arange(len(row))
+            high, low = np.minimum(place + 2 * REACH + 1, last), np.maximum(place - 2 * REACH, last - np.repeat(size, size))
+            run = np.zeros(len(row) + 1, np.int32)
+            for k in range(SIZE):  # one dimension at a time keeps the arrays flat and in cache
+                np.cumsum(index[k][row], out=run[1:])
+                total[k] += np.bincount(row, run[high] - run[low], BUCKETS)
             count += np.bincount(row, minlength=BUCKETS)
         used = np.flatnonzero(count)
-        sums = pa.array([x.tobytes() for x in total[used].astype("<f8")], pa.binary())
+        sums = pa.array([x.tobytes() for x in np.ascontiguousarray(total.T[used].astype("<f8"))], pa.binary())
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(count[used].astype(np.int64)), sums], names=["bucket", "n", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,19 +101,25 @@ def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id and the pooled vector of every row, as the bytes of 2 * SIZE float32; zeros without a word."""
+    """doc_id and the pooled vector of every row, as the bytes of INPUTS float32; zeros without a word."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS * SIZE floats
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = np.ascontiguousarray(shared.value.T)
         for batch in slices(batches, "text", 1 << 20):
             words, shapes, counts = units(batch.column("text"))
-            out = np.zeros((len(counts), 2 * SIZE), np.float32)
+            out = np.zeros((len(counts), INPUTS), np.float32)
             full = np.flatnonzero(counts)
             if len(full):
                 at = (np.cumsum(counts) - counts)[full]
-                for k, row in enumerate((words, shapes)):
-                    out[full, k * SIZE : (k + 1) * SIZE] = np.add.reduceat(table[row], at, axis=0) / counts[full, None]
+                alike = np.zeros(len(words), np.float32)
+                for k, dimension in enumerate(table):
+                    own = dimension[words]
+                    alike[1:] += own[1:] * own[:-1]
+                    out[full, k] = np.add.reduceat(own, at) / counts[full]
+                    out[full, SIZE + k] = np.add.reduceat(dimension[shapes], at) / counts[full]
+                alike[at] = 0
+                out[full, 2 * SIZE] = np.add.reduceat(alike, at) / counts[full]
             yield pa.record_batch([batch.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "pooled"])
 
     return docs.select("doc_id", "text").mapInArrow(pool, "doc_id long, pooled binary")
@@ -128,13 +133,13 @@ class Network:
         held = draw.random(len(y)) < 0.2
         if not (0 < y[~held].sum() < (~held).sum()):  # a single class, or nothing: its share is all there is to learn
             share = (y.sum() + 1) / (len(y) + 2)
-            self.mean, self.scale = np.zeros(2 * SIZE), np.ones(2 * SIZE)
-            self.a, self.b = np.zeros((2 * SIZE, HIDDEN)), np.zeros(HIDDEN)
+            self.mean, self.scale = np.zeros(INPUTS), np.ones(INPUTS)
+            self.a, self.b = np.zeros((INPUTS, HIDDEN)), np.zeros(HIDDEN)
             self.c, self.d, self.temperature = np.zeros(HIDDEN), np.log(share / (1 - share)), 1.0
             return
         self.mean, self.scale = x[~held].mean(0), x[~held].std(0) + 1e-6
         z, t = (x[~held] - self.mean) / self.scale, y[~held]
-        parts = [draw.normal(0, 1 / np.sqrt(2 * SIZE), (2 * SIZE, HIDDEN)), np.zeros(HIDDEN), draw.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
+        parts = [draw.normal(0, 1 / np.sqrt(INPUTS), (INPUTS, HIDDEN)), np.zeros(HIDDEN), draw.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         first, second, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
         for _ in range(EPOCHS):
             order = draw.permutation(len(t))
@@ -168,7 +173,7 @@ def train(pooled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network
     """The network from pooled vectors and labels.quality, without the held-out rows (crc32 mod 4 is 2)."""
     marked = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 4) != 2)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     rows = pooled.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "pooled").limit(sample).select("pooled", "quality").collect()
-    x = np.array([np.frombuffer(r.pooled, "<f4") for r in rows], float).reshape(-1, 2 * SIZE)
+    x = np.array([np.frombuffer(r.pooled, "<f4") for r in rows], float).reshape(-1, INPUTS)
     return Network(x, np.array([r.quality for r in rows], float))
 
 
@@ -186,7 +191,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("pooled").to_pylist()), "<f4").reshape(-1, 2 * SIZE).astype(float)
+            x = np.frombuffer(b"".join(batch.column("pooled").to_pylist()), "<f4").reshape(-1, INPUTS).astype(float)
             yield pa.record_batch([batch.column("doc_id"), pa.array(network(x))], names=["doc_id", "score"])
 
     scored = pooled.mapInArrow(run, "doc_id long, score double")
