@@ -434,12 +434,13 @@ def token_hash(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", crypto.sha256_hex(F.col("c_name")).alias("sha256"), crypto.sha1_hex(F.col("c_name")).alias("sha1"))
 
 
-@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) + 1e-9, 6) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) WHERE rank <= 5 AND similarity >= 0.1""")
 def vector_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
     found = events.top_similar(vectors, vectors.where("vec_id % 20 = 0"), floor=0.1)
-    return found.withColumn("similarity", F.round("similarity", 6))
+    # Sums in another order fall on either side of a half; the nudge puts them on one.
+    return found.withColumn("similarity", F.round(F.col("similarity") + 1e-9, 6))
 
 
 @query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
