@@ -33,6 +33,18 @@ def unpack(packed: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     return [raw[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], arrays[1:]
 
 
+def few(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``limit`` bytes, for work whose arrays take many times a text's size."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > limit:
+            yield texts[start:i]
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield texts[start:]
+
+
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """block, packed: every row's doc_id and text, dealt into blocks of about ``block_bytes`` and compressed.
 

@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Hasher
-from .blocks import BLOCK_BYTES, blocks, pack, unpack
+from .blocks import blocks, few, pack, unpack
 from .common import partitions
 from .pretokens import pretokens
 
+#: A task holds one block's texts, distinct words, ids and decoded bytes at a time.
+BLOCK_BYTES = 10 << 20
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a file with a base64 token and its rank in each line."""
@@ -82,13 +85,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
         for batch in batches:
             for block, bundle in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
                 seen = words.setdefault(block, {})
-                flat, starts, ends, _ = pretokens(unpack(bundle.as_py())[0], pattern)
-                keys, place = np.unique(Hasher(flat)(starts, ends), return_index=True)
-                raw = flat.tobytes()
-                for key, a, b in zip(keys.tolist(), starts[place].tolist(), ends[place].tolist(), strict=True):
-                    if key not in seen:
-                        seen[key] = raw[a:b]
-        for block, seen in words.items():
+                for texts in few(unpack(bundle.as_py())[0]):
+                    flat, starts, ends, _ = pretokens(texts, pattern)
+                    keys, place = np.unique(Hasher(flat)(starts, ends), return_index=True)
+                    raw = flat.tobytes()
+                    for key, a, b in zip(keys.tolist(), starts[place].tolist(), ends[place].tolist(), strict=True):
+                        if key not in seen:
+                            seen[key] = raw[a:b]
+        while words:
+            block, seen = words.popitem()
             dealt: list[list[bytes]] = [[] for _ in range(parts)]
             for word in sorted(seen.values()):
                 dealt[zlib.crc32(word) % parts].append(word)
@@ -127,15 +132,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
             found, (ids, valid) = unpack(bundle.as_py())
             names.append(ids)
             known.append(valid)
-            joined, starts, ends, counts = pretokens(found, pattern)
-            places = np.searchsorted(key, Hasher(joined)(starts, ends))
-            size = sizes[places]
-            done = np.cumsum(size)
-            out.append(flat[np.repeat(first[places] - (done - size), size) + np.arange(int(size.sum()))])
-            stops = np.r_[0, done][np.r_[0, np.cumsum(counts)]]
-            totals.append(np.diff(stops))
+            for some in few(found):
+                joined, starts, ends, counts = pretokens(some, pattern)
+                places = np.searchsorted(key, Hasher(joined)(starts, ends))
+                size = sizes[places]
+                done = np.cumsum(size)
+                out.append(flat[np.repeat(first[places] - (done - size), size) + np.arange(int(size.sum()))])
+                stops = np.r_[0, done][np.r_[0, np.cumsum(counts)]]
+                totals.append(np.diff(stops))
         counts = np.concatenate(totals) if totals else np.zeros(0, np.int64)
         every = np.concatenate(out) if out else flat[:0]
+        del out
         ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(every, pa.int32()))
         keys = pa.array(np.concatenate(names), pa.int64(), mask=np.concatenate(known) == 0) if names else pa.array([], pa.int64())
         columns = {"doc_id": keys, "ids": ids}
@@ -161,11 +168,12 @@ class TokenBytes:
         """The bytes of each text; ``ids`` of all of them, ``counts`` of each."""
         if len(ids) and not (ids.max() < len(self.size) and ids.min() >= 0 and (self.size[ids] > 0).all()):
             raise ValueError("an id is not in the token table")
-        n, edges, out = self.size[ids], np.r_[0, np.cumsum(counts)], []
+        edges, out = np.r_[0, np.cumsum(counts)], []
         first, flat = np.cumsum(self.size) - self.size, np.frombuffer(self.joined, np.uint8)
         for a in range(0, len(counts), 64):  # some texts at a time: the index takes eight times their size
             b = min(a + 64, len(counts))
-            own, size = ids[edges[a] : edges[b]], n[edges[a] : edges[b]]
+            own = ids[edges[a] : edges[b]]
+            size = self.size[own]
             ends = np.cumsum(size)
             text = flat[np.repeat(first[own] - (ends - size), size) + np.arange(int(size.sum()))].tobytes()
             stops = np.r_[0, ends][edges[a : b + 1] - edges[a]].tolist()
