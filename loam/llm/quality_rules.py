@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .arrays import LOWER, SEPARATOR, Hasher, buffer, mix, powers, spans
 from .common import materialize, slices
 
+#: Parts into which the documents of every host are dealt where their host's frequent lines join them.
+SALTS = 32
 WINDOW, QUERY_SYMBOLS = 5, b"#*$%&|<>"
 LINE_BREAK = np.zeros(256, bool)
 LINE_BREAK[10] = True
@@ -112,7 +114,9 @@ def apply_rules(docs: DataFrame, host: str = "source", limit_docs: int = 20, lim
     seen = measured.where("doc_id IS NOT NULL").select("host", "doc_id", F.explode(F.array_distinct("lines")).alias("line")).distinct()
     often = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit_docs).join(hosts, "host")
     often = often.where(F.col("n") > F.col("host_docs") * limit_share).groupBy("host").agg(F.collect_list("line").alias("often"))
-    joined = measured.join(often, "host", "left")
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(often, ["host", "salt"], "left")
     kept_words = F.aggregate(
         F.filter(F.arrays_zip("lines", "line_words"), lambda x: F.col("often").isNull() | ~F.array_contains("often", x["lines"])),
         F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("lines")),
