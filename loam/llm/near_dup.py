@@ -5,6 +5,11 @@ quarters, so each fingerprint goes to four shards, one for each quarter's value,
 found in a shard of its own. A task builds the BK-trees of the shards that it holds and searches them;
 trees are never broadcast, since they grow with the data. Only links to the least member of what a shard
 connects leave the task: at most one for each fingerprint and shard.
+
+A contract of similarity needs another search. Texts with a Jaccard similarity of 0.8 lie about 10 of 64 bits
+apart, with a spread of 3, so a radius that covers them leaves shards of three bits, which is all pairs. ``similar``
+finds its candidates by bands of MinHash values of five-word shingles instead, and checks each by the
+shingles themselves.
 """
 
 from __future__ import annotations
@@ -17,12 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import LOWER, Hasher, buffer, mix, spans
 from .bktree import Forest, merge
 from .common import materialize, partitions, slices, utf8
 
 QUARTERS, BITS = 4, 16
 #: Entries of one shard's tree; a larger shard is split into several trees that each of its queries visits.
 TREE_LIMIT = 50_000
+#: Bands of MinHash values; a band's key has the first KEY of them, where its group is large all FINE of them.
+BANDS, KEY, FINE = 16, 4, 6
+#: Members of a band's group that are compared with each other; in a larger one each is compared with one member.
+PAIRED = 32
+_STEP = 0xD6E8FEB86659FD93
 
 
 def simhash(text: bytes, words: int = 3) -> int:
@@ -141,6 +152,126 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Columns stay as they are. Rows with a null doc_id are kept. Of rows that repeat a doc_id all stay.
     """
-    found = near_duplicates(docs, **how)
+    return _kept(docs, near_duplicates(docs, **how))
+
+
+def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
     drop = found.where("doc_id != component_id").select(F.col("doc_id").alias("_loam_drop")).distinct()
     return docs.join(drop, docs["doc_id"] == drop["_loam_drop"], "left_anti")
+
+
+def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct ``words``-word shingles of each text, end to end, and where each text's begin, with the end.
+
+    A text of fewer words is one shingle; a wordless one has none.
+    """
+    flat, offsets = buffer(column)
+    flat = LOWER[flat]
+    starts, ends, counts = spans(flat, offsets)
+    hashes = Hasher(flat)(starts, ends)
+    first = np.r_[0, np.cumsum(counts)]
+    text = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(starts)) - first[text]
+    head = np.flatnonzero((at + words <= counts[text]) | (at == 0))
+    total = np.zeros(len(head), np.uint64)
+    for k in range(words):
+        there = np.flatnonzero(at[head] + k < counts[text[head]])
+        total[there] += hashes[head[there] + k] * np.uint64(pow(_STEP, k + 1, 1 << 64))
+    keys, owner = mix(total + np.minimum(counts[text[head]], words).astype(np.uint64)), text[head]
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    return keys[new], np.searchsorted(owner[new], np.arange(len(counts) + 1))
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_key (hash of the text), set_key (hash of the shingle set), size and the bands' keys, short and long."""
+    odd = (np.random.default_rng(42).integers(0, 1 << 63, BANDS * FINE).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            keys, edges = shingles(batch.column("text"), words)
+            size = np.diff(edges)
+            full = np.flatnonzero(size)
+            whole = np.zeros(len(size), np.uint64)
+            bands = np.zeros((len(size), 2 * BANDS), np.uint64)
+            if len(full):
+                whole[full] = np.add.reduceat(mix(keys ^ np.uint64(_STEP)), edges[full])
+                for b in range(BANDS):
+                    key = np.full(len(full), b + 1, np.uint64)
+                    for k in range(FINE):
+                        key = mix(key + np.minimum.reduceat(keys * odd[b * FINE + k], edges[full]))
+                        if k == KEY - 1:
+                            bands[full, b] = key
+                    bands[full, BANDS + b] = key
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * 2 * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(mix(whole + size.astype(np.uint64)).view(np.int64)), pa.array(size.astype(np.int32)), lists]
+            yield pa.record_batch(columns, names=["doc_id", "text_key", "set_key", "size", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, set_key long, size int, bands array<long>")
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """a, b, of ``sets`` (set_key, size, bands): pairs that share a band's key and may be similar in size."""
+
+    def groups(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("set_key", "band").alias("rank"), "set_key", "size")).alias("head")).where("n > 1")
+
+    def every_pair(rows: DataFrame, found: DataFrame) -> DataFrame:
+        own = rows.join(found.where(F.col("n") <= PAIRED).select("band"), "band").select("band", "set_key", "size")
+        other = own.toDF("band", "b", "b_size")
+        return own.join(other, "band").where("set_key < b").select(F.col("set_key").alias("a"), "b", "size", "b_size")
+
+    def large(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of large groups, with the group's head."""
+        return rows.join(found.where(F.col("n") > PAIRED).select("band", "head").hint("merge"), "band")
+
+    at = F.posexplode(F.slice("bands", 1, BANDS)).alias("place", "band")
+    short = sets.select("set_key", "size", "bands", at).select("set_key", "size", "band", F.get("bands", F.col("place") + BANDS).alias("fine"))
+    short = materialize(short, "bands")
+    few = materialize(groups(short), "band-groups")
+    fine = materialize(large(short, few).select("set_key", "size", F.col("fine").alias("band")), "fine-bands")
+    many = materialize(groups(fine), "fine-groups")
+    star = large(fine, many).select(F.col("set_key").alias("a"), F.col("head.set_key").alias("b"), "size", F.col("head.size").alias("b_size"))
+    return every_pair(short, few).union(every_pair(fine, many)).union(star).where("a != b")
+
+
+def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, component_id of every row of ``docs``: the least doc_id reachable over texts that are similar.
+
+    Similar are texts whose sets of ``words``-word shingles, A-Z lowered, have a Jaccard similarity of ``percent``
+    or more. Every link is checked by the hashes of all shingles. A pair at just 0.8 shares a band with
+    a probability over 0.999; groups of over PAIRED texts are divided by the longer key, where it is 0.99, and what is large even
+    then is compared with one text of the group for each band. Wordless texts are similar to each other.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    drawn = materialize(sketches(rows, words), "sketches")
+    sets = drawn.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("text_key").alias("text_key"))
+    sets = materialize(sets, "sets")
+    near = 100 * F.least("size", "b_size") >= percent * F.greatest("size", "b_size")
+    pairs = candidates(sets.where("size > 0").select("set_key", "size", "bands")).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    wanted = sets.join(used, "set_key", "left_semi").select("set_key", "text_key")
+    texts = rows.join(wanted, "text_key").dropDuplicates(["set_key"]).select("set_key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            keys, edges = shingles(batch.column("text"), words)
+            yield pa.record_batch([batch.column("set_key"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys.view(np.int64)))], names=["set_key", "grams"])
+
+    grams = materialize(texts.mapInArrow(run, "set_key long, grams array<long>"), "grams")
+    # One text may be in many pairs: these joins are left to the skew handling of sort-merge joins.
+    half = materialize(pairs.join(grams.toDF("a", "a_grams").hint("merge"), "a"), "half-pairs")
+    both = half.join(grams.toDF("b", "b_grams").hint("merge"), "b").withColumn("shared", F.size(F.array_intersect("a_grams", "b_grams")))
+    links = both.where(100 * F.col("shared") >= percent * (F.size("a_grams") + F.size("b_grams") - F.col("shared"))).select("a", "b")
+    labels = components(materialize(links, "similar"))
+    named = sets.select("set_key", "least").join(labels.toDF("set_key", "label"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return drawn.select("doc_id", "set_key").join(named.join(least, "label").select("set_key", "component_id"), "set_key").select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` without those that ``similar`` puts behind another; see ``keep_one``."""
+    return _kept(docs, similar(docs, **how))

@@ -76,3 +76,35 @@ def test_odd_rows(odd):
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} >= {None, 0, 3, 4, 5, 6} and 7 not in {r.doc_id for r in kept.collect()}
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_planted_near_copies(spark):
+    """Copies with changed words at 0.8 or more are found, most of them over three bits apart; texts under 0.8 stay."""
+    import corpus_pipeline
+
+    draw, rows, near, far = random.Random(5), [], set(), set()
+    for i in range(60):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randint(60, 400))]
+        copy = list(words)
+        for place in draw.sample(range(len(words)), max(len(words) // (60 if i % 2 else 20), 1)):
+            copy[place] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy).upper())]
+        (near if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else far).add(2 * i + 1)
+    assert len(near) >= 20 and len(far) >= 20
+    assert sum((fingerprint(rows[i - 1][1]) ^ fingerprint(rows[i][1])).bit_count() > 3 for i in near) > len(near) / 2
+    many = [f"m{k}" for k in range(200)]
+    rows += [(1000 + k, " ".join([*many[:k], f"x{k}", *many[k + 1 :]])) for k in range(200)]  # more than one group compares with each other
+    kept = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == {i for i, _ in rows if i < 1001} - near
+
+
+def test_similar_odd_rows(odd):
+    got = {r.doc_id: r.component_id for r in near_dup.similar(odd).collect()}
+    assert near_dup.similar(odd).count() == odd.count() and near_dup.similar(odd.limit(0)).count() == 0
+    assert got[0] == got[1] == got[2] == 0 and got[7] == 6 and got[3] == 3
+    assert near_dup.keep_one_similar(odd).columns == odd.columns
