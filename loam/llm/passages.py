@@ -1,0 +1,176 @@
+"""Substring dedup by passages: of each run of 50 words or more that repeats, the earliest occurrence stays.
+
+Runs begin and end anywhere, across lines and inside them. Of every 50 successive words the 25-word gram of
+least hash is drawn (winnowing), so equal runs draw equal grams; only where a drawn gram repeats are the 50-word windows
+themselves grouped. Words are those of the line rule, A-Z lowered, whatever separates them. Repeated lines of 20
+words, which the line rule removes, go as well.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .arrays import LOWER, Hasher, buffer, mix, powers, spans
+from .common import materialize, slices
+from .substring_dedup import repeats
+
+WINDOW, GRAM = 50, 25
+#: Texts of about so many bytes are searched at once.
+SLICE = 2 << 20
+_STEP = 0xD6E8FEB86659FD93
+_BACK = pow(_STEP, -1, 1 << 64)
+SCHEMA = "doc_id long, text_key long, pos int"
+
+
+class Words:
+    """The words of a batch's texts: places, and hashes of runs of them."""
+
+    def __init__(self, column: pa.Array):
+        self.flat, self.offsets = buffer(column)
+        low = LOWER[self.flat]
+        self.starts, self.ends, self.counts = spans(low, self.offsets)
+        self.first = np.r_[0, np.cumsum(self.counts)]
+        self.text = np.repeat(np.arange(len(self.counts)), self.counts)
+        hashes = Hasher(low)(self.starts, self.ends)
+        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(hashes * powers(_STEP, len(hashes)))]
+        n = len(hashes)
+        #: Where a window begins, as an index of words.
+        self.windows = np.flatnonzero(self.text[WINDOW - 1 :] == self.text[: n - WINDOW + 1]) if n >= WINDOW else np.zeros(0, np.int64)
+
+    def runs(self, at: np.ndarray, length: int) -> np.ndarray:
+        return mix((self.sums[at + length] - self.sums[at]) * powers(_BACK, len(self.text) + 1)[at])
+
+    def drawn(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all grams by their first word, and the gram that each window draws."""
+        if not len(self.windows):
+            return np.zeros(0, np.uint64), self.windows
+        grams = self.runs(np.arange(len(self.text) - GRAM + 1), GRAM)
+        every = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1)
+        parts = [self.windows[i : i + 50_000] for i in range(0, len(self.windows), 50_000)]
+        return grams, np.concatenate([p + every[p].argmin(axis=1) for p in parts])
+
+
+def _ids(batch: pa.RecordBatch, text: np.ndarray) -> list[pa.Array]:
+    return [batch.column(c).take(pa.array(text)) for c in ("doc_id", "text_key")]
+
+
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", SLICE):
+        words = Words(batch.column("text"))
+        grams, drawn = words.drawn()
+        drawn = np.unique(drawn)
+        text = words.text[drawn]
+        columns = [*_ids(batch, text), pa.array((drawn - words.first[text]).astype(np.int32)), pa.array(grams[drawn].view(np.int64))]
+        yield pa.record_batch(columns, names=["doc_id", "text_key", "pos", "gram"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", SLICE):
+        words = Words(batch.column("text"))
+        marked = np.zeros(len(words.text) + 1, bool)
+        marked[_places(batch.column("found"), words)] = True
+        at = words.windows[marked[words.drawn()[1]]]
+        text = words.text[at]
+        columns = [*_ids(batch, text), pa.array((at - words.first[text]).astype(np.int32)), pa.array(words.runs(at, WINDOW).view(np.int64))]
+        yield pa.record_batch(columns, names=["doc_id", "text_key", "pos", "one"])
+
+
+def _places(lists: pa.Array, words: Words) -> np.ndarray:
+    """Positions within each text, as indices of words."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], sizes)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", SLICE):
+        words = Words(batch.column("text"))
+        char = np.r_[0, np.cumsum((words.flat & 0xC0) != 0x80)]
+        marks = np.zeros(len(words.text) + 1, np.int64)
+        whole = batch.column("whole").fill_null(False).to_numpy(zero_copy_only=False)
+        at = np.r_[_places(batch.column("starts"), words), words.windows[whole[words.text[words.windows]]]]
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + WINDOW, -1)
+        inside = np.cumsum(marks)[:-1] > 0
+        new = inside & (np.r_[True, ~inside[:-1]] | np.r_[True, words.text[1:] != words.text[:-1]])[: len(inside)]
+        last = inside & (np.r_[~inside[1:], True] | np.r_[words.text[1:] != words.text[:-1], True])[: len(inside)]
+        head, tail = np.flatnonzero(new), np.flatnonzero(last)
+        origin = char[words.offsets[:-1]]
+        runs: list[list[tuple[int, int]]] = [[] for _ in words.counts]
+        for t, a, b in zip(words.text[head], char[words.starts[head]], char[words.ends[tail]], strict=True):
+            runs[t].append((int(a - origin[t]), int(b - origin[t])))
+        kept, cuts = [], []
+        for text, own, lines in zip(batch.column("text").to_pylist(), runs, batch.column("lines").to_pylist(), strict=True):
+            merged: list[list[int]] = []
+            for a, b in sorted(own + [(s["start"], s["stop"]) for s in lines or []]):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            cuts.append([{"start": a, "stop": b} for a, b in merged])
+            if merged:
+                out, end = [], 0
+                for a, b in merged:
+                    out.append(text[end:a])
+                    # The line break after whole lines goes with them.
+                    end = b + 1 if (a == 0 or text[a - 1] == "\n") and text[b : b + 1] == "\n" else b
+                text = "".join(out) + text[end:]
+            kept.append(text)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        yield pa.record_batch([batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(cuts, kind)], names=["doc_id", "text", "removed"])
+
+
+def _beside(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``rows`` with the columns of ``found``, by doc_id and text_key."""
+    right = found.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    return rows.join(right, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id", "_key")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """doc_id, text_key, starts, whole: the first words of the windows to remove, of ``rows`` (doc_id, text_key, text).
+
+    The earliest occurrence, by doc_id (nulls last), then text, then place, stays, and so does one that overlaps it.
+    Only the earliest document of a text is searched; of the others all windows go, which ``whole`` says.
+    """
+    held = rows.where("text IS NOT NULL").select("doc_id", "text_key", F.col("doc_id").isNull().alias("last"))
+    earliest = held.groupBy("text_key").agg(F.min(F.struct("last", "doc_id")).alias("first"), F.count_distinct(F.struct("last", "doc_id")).alias("n"))
+    earliest = materialize(earliest.select("text_key", F.col("first.doc_id").alias("doc_id"), "n"), "earliest")
+    drawn = materialize(rows.where("text IS NOT NULL").mapInArrow(_draw, f"{SCHEMA}, gram long"), "drawn")
+    drawn = _beside(drawn, earliest.drop("n"), "left_semi").distinct()
+    often = drawn.groupBy("gram").count().where("count > 1").select("gram")
+    found = drawn.join(often, "gram", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("found"))
+    once = _beside(rows, found, "inner").dropDuplicates(["doc_id", "text_key"])
+    windows = materialize(once.mapInArrow(_windows, f"{SCHEMA}, one long"), "windows")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "pos")
+    groups = windows.groupBy("one").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = windows.join(groups, "one")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    later = own.where((rank > F.col("first")) & ~(same & (F.col("pos") < F.col("first.pos") + WINDOW)))
+    later = later.groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("starts")).withColumn("whole", F.lit(False))
+    copies = held.drop("last").distinct().join(earliest.where("n > 1").select("text_key", F.col("doc_id").alias("first")), "text_key")
+    copies = copies.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text_key", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole"))
+    return later.union(copies)
+
+
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, text without the repeated passages and lines, and ``removed``: their original (start, stop).
+
+    All rows stay. Null texts stay null. Rows that repeat a doc_id and text are one document.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    lines = repeats(docs).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("lines"))
+    starts = materialize(repeated(rows), "starts")
+    both = _beside(_beside(rows, starts, "left"), materialize(lines, "lines"), "left").select("doc_id", "text", "starts", "whole", "lines")
+    return both.mapInArrow(_cut, "doc_id long, text string, removed array<struct<start:int,stop:int>>")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_removed, chars_removed, spans (start:end in code points, joined by commas), text_sha256 of the rest."""
+    out = remove_passages(docs)
+    written = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["stop"]))
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), chars.alias("chars_removed"), F.array_join(written, ",").alias("spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

@@ -1,0 +1,53 @@
+import random
+
+from loam.llm import passages, substring_dedup
+
+
+def expected(texts):
+    """Code points of each text in windows that an earlier place has, by all windows."""
+    first, out = {}, {}
+    for i, text in sorted(texts.items()):
+        words, at, gone = [], 0, set()
+        for w in text.split():
+            at = text.index(w, at)
+            words.append((w.lower(), at, at + len(w)))
+            at += len(w)
+        for p in range(len(words) - 49):
+            seen = first.setdefault(tuple(w for w, *_ in words[p : p + 50]), (i, p))
+            if seen < (i, p) and not (seen[0] == i and p < seen[1] + 50):
+                gone |= set(range(words[p][1], words[p + 49][2]))
+        out[i] = gone
+    return out
+
+
+def test_against_all_windows(spark):
+    """Passages in short lines, wrapped anew, and inside a longer line, with less than 50 words left alone."""
+    draw = random.Random(7)
+
+    def some(n):
+        return [f"w{draw.randrange(10**6)}é" for _ in range(n)]
+
+    def wrapped(words, n):
+        return "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+
+    a, b, short = some(70), some(130), some(49)
+    texts = {1: wrapped(some(30) + a + b, 8), 2: "\n".join([wrapped(some(21), 7), wrapped(a, 8), "end"]), 3: " ".join(some(40) + [w.upper().replace("É", "é") for w in b] + some(9)),
+             4: wrapped(short + some(60), 9), 5: " ".join(some(5) + short + some(5)), 6: wrapped(b, 11) + "\n\n" + wrapped(b, 13)}
+    texts[7] = texts[4]
+    got = passages.remove_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = expected(texts)
+    for r in got:
+        gone = {x for s in r.removed for x in range(s.start, s.stop)}
+        blank = {x for x, c in enumerate(texts[r.doc_id]) if c.isspace()}  # what parts two adjacent passages goes as well
+        assert gone - blank == want[r.doc_id] - blank, r.doc_id
+    assert want[2] and want[3] and want[6] and want[7] and not want[4] and not want[5]
+    rest = {r.doc_id: r.text for r in got}
+    assert rest[1] == texts[1] and rest[2].endswith("\nend") and len(rest[3].split()) == 49 and not rest[6].split()
+    lines = substring_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert not any(r.removed for r in lines.collect())
+
+
+def test_odd_rows(odd):
+    got = passages.remove_passages(odd).collect()
+    assert len(got) == odd.count() and {r.text for r in got if r.doc_id in (0, 1, 3)} == {None, "", "a"}
+    assert passages.report(odd.limit(0)).count() == 0
