@@ -96,6 +96,8 @@ def nodes_on_cycles(edges: DataFrame, edge_type: str | None = "SUPERSEDES", roun
             colour = new.select("id", "colour")
             if not new.where("moved").limit(1).count():
                 break
+        else:
+            raise RuntimeError(f"colours still move after {rounds} rounds")
         inside = rest.join(colour.toDF("a", "ca"), "a").join(colour.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
         inside = materialize(inside, "inside")
         part, size = colour.where("id = colour").select("id"), 0
@@ -105,6 +107,8 @@ def nodes_on_cycles(edges: DataFrame, edge_type: str | None = "SUPERSEDES", roun
             if (n := part.count()) == size:
                 break
             size = n
+        else:
+            raise RuntimeError(f"components still grow after {rounds} rounds")
         in_part = inside.join(part.toDF("a"), "a", "left_semi").join(part.toDF("b"), "b", "left_semi")
         found.append(materialize(in_part.select(F.col("a").alias("id")).distinct(), "found"))
         rest = rest.join(part.toDF("a"), "a", "left_anti").join(part.toDF("b"), "b", "left_anti")
