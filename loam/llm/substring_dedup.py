@@ -1,101 +1,112 @@
-"""Substring dedup by lines: of each text unit that repeats, the earliest occurrence stays.
+"""Substring dedup by sentences: of each run of text units that repeats, the earliest occurrence stays.
 
-Units are lines. Normalised (A-Z lowered, words joined by one space) and hashed with BLAKE2b to 128 bits, the
-digests of all documents are grouped; each occurrence but the first, by (rank, document, place), is
-removed. Long units alone count, so stock phrases and headings stay. Offsets are those of the original text.
+Units are sentences within lines: a unit ends where ``.``, ``!`` or ``?`` stands before white space, and at the end of a
+line. Normalised (A-Z lowered, words joined by one space) and hashed with BLAKE2b to 128 bits, the digests of
+all documents are grouped; every occurrence but the first, by (document, text, place), is a repeat. Runs of
+adjacent repeats go if they have ``RUN_WORDS`` words together, so stock phrases and lone sentences stay. Offsets are
+those of the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-#: Units of fewer words are never removed.
-LEAST_WORDS = 20
+#: Units of fewer words are passed over: they neither begin, count for, nor end a run, but those inside a run go with it.
+LEAST_WORDS = 3
+#: Words that the units of a run have together, at least.
+RUN_WORDS = 25
+#: White space before a unit belongs to it, so that it goes with the unit.
+UNIT = re.compile(r"[\x20\x09-\x0D]*+(?:(?:[^.!?\x20\x09-\x0D]|[.!?]++[^.!?\x20\x09-\x0D])(?:[^.!?\x0A]++|[.!?]++[^.!?\x20\x09-\x0D])*+[.!?]*+|[.!?]++)")
 
 
-def units(text: str, least_words: int) -> tuple[int, list[tuple[int, int, int, bytes]]]:
-    """How many lines have a word, and (line, start, stop, digest) of those with enough of them."""
-    found, worded, start = [], 0, 0
-    for number, line in enumerate(text.split("\n")):
-        words = line.encode().lower().split()
-        worded += bool(words)
+def units(text: str, least_words: int) -> list[tuple[int, int, int, int, bytes]]:
+    """Number, start, stop, words and digest of every unit of ``text`` with enough words."""
+    found = []
+    for m in UNIT.finditer(text):
+        words = m.group().encode().lower().split()
         if len(words) >= least_words:
-            found.append((number, start, start + len(line), hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
-        start += len(line) + 1
-    return worded, found
+            found.append((len(found), m.start(), m.end(), len(words), hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
+    return found
 
 
-def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """text_key, doc_id, unit, start, stop: the units to remove, one row each.
-
-    The earliest occurrence, by doc_id (nulls last), then text, then place, stays. Null texts have no units.
-    Rows that repeat a doc_id and text are one document: their units are removed from all or none.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
-            rows = [(d, k, *u) for d, k, t in zip(ids, keys, batch.column("text").to_pylist(), strict=True) for u in units(t or "", least_words)[1]]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "text_key", "unit", "start", "stop", "digest"])
-
+def _slim(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
-    found = materialize(rows.mapInArrow(run, "doc_id long, text_key long, unit int, start int, stop int, digest binary"), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "unit")
-    groups = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    later = found.withColumn("own", rank).join(groups, "digest").where(F.col("own") > F.col("first"))
-    return later.select("text_key", "doc_id", "unit", "start", "stop").distinct()
+    return rows.withColumn("text_key", F.xxhash64("text"))
 
 
-def _spans(removed: DataFrame) -> DataFrame:
-    one = F.struct("start", "stop", "unit")
-    return removed.groupBy("text_key", "doc_id").agg(F.array_sort(F.collect_list(one)).alias("removed"))
+def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """text_key, doc_id, start, stop: the runs to remove, one row each.
 
+    The earliest occurrence of a unit, by doc_id (nulls last), then text, then place, stays. Null texts have no
+    units. Rows that repeat a doc_id and text are one document: their runs are removed from all or none.
+    """
+    names = ["doc_id", "text_key", "unit", "start", "stop", "words", "high", "low"]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
 
-def _with_spans(docs: DataFrame, least_words: int) -> DataFrame:
-    spans = _spans(repeats(docs, least_words)).toDF("_loam_key", "_loam_id", "_loam_removed")
-    key = F.xxhash64(docs["text"].cast("string")) == spans["_loam_key"]
-    joined = docs.join(spans, key & docs["doc_id"].cast("long").eqNullSafe(spans["_loam_id"]), "left")
-    return joined.drop("_loam_key", "_loam_id")
-
-
-def _rest(text: Column, removed: Column) -> Column:
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        part = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        # The line break after a removed line goes with it.
-        return F.struct((span["stop"] + 1).alias("at"), F.concat(state["out"], part).alias("out"))
-
-    return F.aggregate(removed, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            rows = []
+            for d, k, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows += [(d, k, *u[:4], int.from_bytes(u[4][:8], "little", signed=True), int.from_bytes(u[4][8:], "little", signed=True)) for u in units(text or "", least_words)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    found = _slim(docs).mapInArrow(run, "doc_id long, text_key long, unit int, start int, stop int, words int, high long, low long")
+    found = materialize(found, "units")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "unit")
+    groups = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
+    later = found.withColumn("own", rank).join(groups, ["high", "low"]).where(F.col("own") > F.col("first"))
+    place = Window.partitionBy("text_key", "doc_id").orderBy("unit")
+    later = later.select("text_key", "doc_id", "unit", "start", "stop", "words").withColumns({
+        "run": F.col("unit") - F.dense_rank().over(place),
+        # Rows that repeat a document repeat its units, whose words count once.
+        "words": F.when(F.lag("unit").over(place) == F.col("unit"), 0).otherwise(F.col("words")),
+    })
+    runs = later.groupBy("text_key", "doc_id", "run").agg(F.sum("words").alias("words"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return runs.where(F.col("words") >= run_words).select("text_key", "doc_id", "start", "stop")
 
 
-def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut from text, and ``removed``: their original (start, stop, unit).
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """``docs`` with repeated runs cut from text, and ``removed``: their original (start, stop).
 
     All rows and columns stay; n_chars, if there, becomes the new length. Texts without repeats, and null
-    texts, are unchanged with an empty array. A column named removed is replaced.
+    texts, are unchanged with an empty array. A column named removed is replaced. An empty table gives an empty result.
     """
-    out = _with_spans(docs.drop("removed"), least_words)
-    empty = F.array().cast("array<struct<start:int,stop:int,unit:int>>")
-    out = out.withColumn("text", F.when(F.col("_loam_removed").isNotNull(), _rest(F.col("text"), F.col("_loam_removed"))).otherwise(F.col("text")))
+    docs = docs.drop("removed")
+    spans = repeats(docs, least_words, run_words).groupBy("text_key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    spans = spans.toDF("_loam_key", "_loam_id", "removed")
+    key = F.xxhash64(docs["text"].cast("string")) == spans["_loam_key"]
+    out = docs.join(spans, key & docs["doc_id"].cast("long").eqNullSafe(spans["_loam_id"]), "left").drop("_loam_key", "_loam_id")
+    empty = F.array().cast("array<struct<start:int,stop:int>>")
+    out = out.withColumn("text", F.col("text").cast("string")).withColumn("removed", F.coalesce("removed", empty))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, gone in enumerate(batch.column("removed").to_pylist()):
+                if gone:
+                    edges = [0, *(x for span in gone for x in (span["start"], span["stop"])), len(texts[i])]
+                    texts[i] = "".join(texts[i][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            columns = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in batch.schema.names]
+            yield pa.record_batch(columns, names=batch.schema.names)
+
+    out = out.mapInArrow(cut, out.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("removed", F.coalesce("_loam_removed", empty)).drop("_loam_removed")
+    return out
 
 
-def report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def report(docs: DataFrame, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, n_removed, chars_removed, spans (start:end in code points, joined by commas), text_sha256 of the rest."""
-    out = remove_repeats(docs.select("doc_id", "text"), least_words)
+    out = remove_repeats(docs.select("doc_id", "text"), least_words, run_words)
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["stop"]))
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), chars.alias("chars_removed"), F.array_join(spans, ",").alias("spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
@@ -103,24 +114,25 @@ def report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 ORACLE = r"""
 WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*(?:(?:[^.!?\x20\x09-\x0D]|[.!?]+[^.!?\x20\x09-\x0D])(?:[^.!?\x0A]|[.!?]+[^.!?\x20\x09-\x0D])*[.!?]*|[.!?]+)') AS parts
+  FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS unit FROM l),
 n AS (
-  SELECT doc_id, unit, line, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS raw,
-    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM l),
+  SELECT doc_id, unit, part, regexp_extract_all(part, '[^\x20\x09-\x0D]+') AS w,
+    coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM p),
 u AS (
-  SELECT *, row_number() OVER (PARTITION BY translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY doc_id, unit) AS rank
-  FROM n WHERE words >= 20),
-gone AS (SELECT doc_id, unit, start, start + length(line) AS stop FROM u WHERE rank > 1),
-rest AS (
-  SELECT n.doc_id, coalesce(string_agg(n.line || CASE WHEN n.unit < last THEN chr(10) ELSE '' END, '' ORDER BY n.unit) FILTER (WHERE gone.unit IS NULL), '') AS text
-  FROM n JOIN (SELECT doc_id, max(unit) AS last FROM n GROUP BY doc_id) USING (doc_id) LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.unit = n.unit
-  GROUP BY n.doc_id),
-s AS (
-  SELECT doc_id, count(*) AS n_removed, sum(stop - start)::BIGINT AS chars_removed, string_agg(start || ':' || stop, ',' ORDER BY start) AS spans
-  FROM gone GROUP BY doc_id)
+  SELECT doc_id, start, start + length(part) AS stop, len(w) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS unit,
+    row_number() OVER (PARTITION BY translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY doc_id, unit) AS rank
+  FROM n WHERE len(w) >= 3),
+later AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM u WHERE rank > 1),
+gone AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM later GROUP BY doc_id, run HAVING sum(words) >= 25),
+edges AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS past FROM gone),
+kept AS (
+  SELECT doc_id, string_agg(substr(text, past + 1, start - past), '' ORDER BY start) || substr(any_value(text), max(stop) + 1) AS text,
+    count(*) AS n_removed, sum(stop - start)::BIGINT AS chars_removed, string_agg(start || ':' || stop, ',' ORDER BY start) AS spans
+  FROM edges JOIN documents USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(chars_removed, 0)::BIGINT AS chars_removed, coalesce(spans, '') AS spans,
-  sha256(coalesce(rest.text, '')) AS text_sha256
-FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN rest USING (doc_id)
+  sha256(coalesce(kept.text, documents.text, '')) AS text_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
 """

@@ -1,40 +1,87 @@
+import random
+import re
+
 from loam.llm import substring_dedup
 
 
-def brute(rows, least):
+def brute(rows, least, run):
+    """Start and stop of the runs to remove, found line by line and character by character, without the operator's pattern."""
     seen, out = set(), {}
-    for doc_id, text in sorted(rows):
-        at, removed = 0, []
-        for line in (text or "").split("\n"):
-            words = line.encode().lower().split()
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        ends, blank = [], set(" \t\n\v\f\r")
+        for i, c in enumerate(text or ""):
+            after = text[i + 1 : i + 2]
+            if c not in blank and (c in ".!?" and (not after or after in blank)):
+                ends.append(i + 1)
+            elif after in ("", "\n") and c != "\n":
+                ends.append(i + 1)
+        units, at = [], 0
+        for end in ends:
+            words = re.findall(r"[^\x20\x09-\x0D]+", text[at:end])
+            if not words:
+                continue  # blanks at the end of a line go to the next unit
             if len(words) >= least:
-                key = b" ".join(words)
-                if key in seen:
-                    removed.append((at, at + len(line)))
-                seen.add(key)
-            at += len(line) + 1
+                units.append((at, end, len(words), " ".join(words).encode().lower()))
+            at = end
+        group, removed = [], []
+        for unit in [*units, None]:
+            if unit and unit[3] in seen:
+                group.append(unit)
+                continue
+            if sum(u[2] for u in group) >= run:
+                removed.append((group[0][0], group[-1][1]))
+            group = []
+            if unit:
+                seen.add(unit[3])
         out[doc_id] = removed
     return out
 
 
 def test_against_brute_force(docs, texts):
     got = {r.doc_id: r.spans for r in substring_dedup.report(docs).collect()}
-    want = brute(texts.items(), substring_dedup.LEAST_WORDS)
+    want = brute(texts.items(), substring_dedup.LEAST_WORDS, substring_dedup.RUN_WORDS)
     assert got == {i: ",".join(f"{a}:{b}" for a, b in s) for i, s in want.items()}
     assert any(got.values())
 
 
 def test_earliest_stays(spark):
-    line = " ".join(f"w{i}" for i in range(25))
-    rows = [(5, f"head\n{line.upper()}  \ntail"), (2, f"{line}\n{line}\nend"), (9, None), (10, "")]
+    a, b = (" ".join(f"{x}{i}" for i in range(15)) + "." for x in "vw")
+    once = "Not often seen words are here today"
+    rows = [(5, f"head\n{a.upper()}  Yes! {b}  \n{once}. tail"), (2, f"{a}\tyes!\n{b}\n{once}.\nend"), (9, None), (10, "")]
     out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r.doc_id: (r.text, [(s.start, s.stop) for s in r.removed]) for r in out.collect()}
-    n = len(line)
-    assert got == {5: ("head\ntail", [(5, 7 + n)]), 2: (f"{line}\nend", [(n + 1, 2 * n + 1)]), 9: (None, []), 10: ("", [])}
+    gone = f"\n{a}  Yes! {b}"
+    assert got[2] == (rows[1][1], []) and got[9] == (None, []) and got[10] == ("", [])
+    start, stop = got[5][1][0]
+    assert (start, rows[0][1][:start] + rows[0][1][stop:]) == (4, got[5][0]) and stop >= 4 + len(gone)
+    assert got[5][0].endswith(" tail") and "V1" not in got[5][0]
+
+
+def test_passages_inside_lines(spark):
+    """A passage of some sentences between other words of a longer line goes, but for the cut ones at its ends."""
+    draw = random.Random(3)
+
+    def sentence(n):
+        return " ".join(f"w{draw.randrange(10**6)}" for _ in range(n)) + "."
+
+    passage = " ".join(sentence(9) for _ in range(7))
+    rows = [(i, f"{sentence(12)} {sentence(5)[:-1]} {passage} {sentence(14)}") for i in range(1, 6)]
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1]
+    for i in range(2, 6):
+        assert len(rows[i - 1][1].split()) - len(got[i].split()) == 54
 
 
 def test_odd_rows(odd):
-    out = substring_dedup.remove_repeats(odd.withColumnRenamed("block", "removed"), least_words=5)
+    out = substring_dedup.remove_repeats(odd.withColumnRenamed("block", "removed"), least_words=5, run_words=5)
     assert out.count() == odd.count()
     assert {r.doc_id: r.text for r in out.collect()}[7] == ""  # the repeat of document 6
     assert substring_dedup.report(odd.limit(0)).count() == 0
+
+
+def test_long_text(spark):
+    """Many units and removed runs in one text take time in proportion."""
+    long = " ".join(f"a{i} b{i} c{i}." for i in range(100_000))
+    twice = spark.createDataFrame([(1, long), (2, "x. " + long.replace(" a50000 ", " new "))], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(twice).collect()}
+    assert len(got[2].removed) == 2 and len(got[2].text) < 40 and not got[1].removed
