@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,8 +53,35 @@ def spans(flat: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARAT
     return first, last, np.diff(np.searchsorted(first, offsets))
 
 
+def distinct(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of every span of ``flat``, equal for equal bytes alone, and the bytes of each number.
+
+    Spans are ascending and do not overlap.
+    """
+    if len(starts) and (starts[1:] == ends[:-1]).all():
+        data = flat[starts[0] : ends[-1]]
+    else:
+        marks = np.zeros(len(flat) + 1, np.int8)
+        marks[starts] += 1
+        marks[ends] -= 1
+        data = flat[np.cumsum(marks[:-1], dtype=np.int8) > 0]
+    offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
+    parts = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), parts).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of every span of ``flat`` (see ``distinct``), as uint64; each distinct one is hashed once."""
+    numbers, found = distinct(flat, starts, ends)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found.to_pylist()), np.uint64, len(found))[numbers]
+
+
 class Hasher:
-    """64-bit hashes of spans of ``flat``: a polynomial over the bytes, from running sums, then mixed."""
+    """Fast hashes of spans of ``flat`` for hash buckets: a polynomial over the bytes, from running sums, then mixed.
+
+    Long structured spans can agree though they differ, so these never tell spans apart; ``distinct`` does.
+    """
 
     def __init__(self, flat: np.ndarray):
         self.sums = np.zeros(len(flat) + 1, np.uint64)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Hasher, buffer, mix, spans
+from .arrays import LOWER, buffer, mix, span_hashes, spans
 from .bktree import Forest, merge
 from .common import materialize, partitions, slices, utf8
 
@@ -168,7 +168,7 @@ def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     flat, offsets = buffer(column)
     flat = LOWER[flat]
     starts, ends, counts = spans(flat, offsets)
-    hashes = Hasher(flat)(starts, ends)
+    hashes = span_hashes(flat, starts, ends)
     first = np.r_[0, np.cumsum(counts)]
     text = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(len(starts)) - first[text]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Hasher, buffer, mix, powers, spans
+from .arrays import LOWER, buffer, mix, powers, span_hashes, spans
 from .common import materialize, slices
 from .substring_dedup import repeats
 
@@ -36,7 +36,7 @@ class Words:
         self.starts, self.ends, self.counts = spans(low, self.offsets)
         self.first = np.r_[0, np.cumsum(self.counts)]
         self.text = np.repeat(np.arange(len(self.counts)), self.counts)
-        hashes = Hasher(low)(self.starts, self.ends)
+        hashes = span_hashes(low, self.starts, self.ends)
         self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(hashes * powers(_STEP, len(hashes)))]
         n = len(hashes)
         #: Where a window begins, as an index of words.
