@@ -1,9 +1,8 @@
 """Quality rules: counts within a document, and the line frequency across a host's documents.
 
-Lines are normalised (A-Z lowered, digits as 0, words joined by one space) and hashed. A line that stands
-in more of a host's distinct documents than the limit is boilerplate and removed; a document left with too
-few of its words is depleted and rejected. The limit is a share of the host's documents, so a host
-has at most 1 / share times its mean number of lines above it: that short list joins the documents by host.
+Lines are normalised (A-Z lowered, digits as 0, words joined by one space) and hashed to 128 bits. A line that stands
+in more of a host's distinct documents than the limits is boilerplate and removed; a document left with too
+few of its words is depleted and rejected. Within a document words, windows and lines are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -12,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, SEPARATOR, Hasher, buffer, mix, powers, spans
+from .arrays import LOWER, SEPARATOR, buffer, distinct, spans
 from .common import materialize, slices
 
-#: Parts into which the documents of every host are dealt where their host's frequent lines join them.
+#: Parts into which the occurrences of every line are dealt where the frequent lines join them.
 SALTS = 32
 WINDOW, QUERY_SYMBOLS = 5, b"#*$%&|<>"
 LINE_BREAK = np.zeros(256, bool)
@@ -27,10 +27,8 @@ _NORMAL = LOWER.copy()
 _NORMAL[ord("0") : ord("9") + 1] = ord("0")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(QUERY_SYMBOLS)] = True
-_STEP = 0xD6E8FEB86659FD93
-_BACK = pow(_STEP, -1, 1 << 64)
 
-SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<binary>, line_words array<int>"
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,20 +46,36 @@ def _per_text(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return total[edges[1:]] - total[edges[:-1]]
 
 
+def _windows(numbers: np.ndarray, length: int) -> np.ndarray:
+    """A number for every ``length`` successive entries of ``numbers``, equal for equal entries alone."""
+    half = numbers
+    size, found = 1, {1: numbers}
+    while 2 * size <= length:
+        n = len(half) - size
+        half = np.unique(half[:n] * (int(half.max()) + 1) + half[size : size + n], return_inverse=True)[1]
+        size *= 2
+        found[size] = half
+    whole, covered = half, size
+    while covered < length:
+        size = max(k for k in found if covered + k <= length)
+        n = len(numbers) - covered - size + 1
+        more = found[size][covered : covered + n]
+        whole = np.unique(whole[:n] * (int(more.max()) + 1) + more, return_inverse=True)[1]
+        covered += size
+    return whole
+
+
 def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The counts of each text of ``batch`` (doc_id, host, text), and its normalised lines."""
     flat, offsets = buffer(batch.column("text"))
     starts, ends, counts = spans(flat, offsets)
     word_edges = np.r_[0, np.cumsum(counts)]
     text = np.repeat(np.arange(len(counts)), counts)
-    salt = mix(np.arange(1, len(counts) + 1).astype(np.uint64))
-    exact, normal = Hasher(flat)(starts, ends), Hasher(_NORMAL[flat])(starts, ends)
-
     covered = np.zeros(len(starts), bool)
     if len(starts) >= WINDOW:
         whole = np.flatnonzero(text[WINDOW - 1 :] == text[: len(text) - WINDOW + 1])
-        key = sum(exact[whole + k] * np.uint64(pow(_STEP, k + 1, 1 << 64)) for k in range(WINDOW))
-        twice, _ = _repeated(mix(key) ^ salt[text[whole]]) if len(whole) else (np.zeros(0, bool), None)
+        window = _windows(distinct(flat, starts, ends)[0].astype(np.int64), WINDOW)[whole]
+        twice, _ = _repeated(window * len(counts) + text[whole])
         marks = np.zeros(len(starts) + 1, np.int64)
         np.add.at(marks, whole[twice], 1)
         np.add.at(marks, whole[twice] + WINDOW, -1)
@@ -72,11 +86,17 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     worded = high > low
     line_text = np.repeat(np.arange(len(counts)), lines)[worded]
     first, last, low, high = first[worded], last[worded], low[worded], high[worded]
-    _, again = _repeated(Hasher(flat)(first, last) ^ salt[line_text])
-    run = np.r_[np.zeros(1, np.uint64), np.cumsum(normal * powers(_STEP, len(normal)))]
-    digest = mix((run[high] - run[low]) * powers(_BACK, len(normal) + 1)[low] + (high - low).astype(np.uint64))
+    _, again = _repeated(distinct(flat, first, last)[0].astype(np.int64) * len(counts) + line_text)
     line_edges = np.searchsorted(line_text, np.arange(len(counts) + 1))
 
+    line = np.repeat(np.arange(len(low)), high - low)
+    normal, held = _NORMAL[flat], ~SEPARATOR[flat]
+    between = starts[1:][line[1:] == line[:-1]] - 1  # one of the separators before each further word of a line
+    normal[between], held[between] = 0x20, True
+    place = np.r_[0, np.cumsum(held)]
+    numbers, normalised = distinct(normal[held], place[starts[low]], place[ends[high - 1]])
+    digest = pa.array([xxhash.xxh3_128_digest(x) for x in normalised.to_pylist()], pa.binary()).take(pa.array(numbers))
+
     lists = pa.array(line_edges, pa.int32())
     return pa.record_batch(
         [
@@ -87,19 +107,20 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
             pa.array(_per_text(_SYMBOL[flat], offsets), pa.int64()),
             pa.array(np.bincount(line_text[again], minlength=len(counts)), pa.int64()),
             pa.array(_per_text(covered, word_edges), pa.int64()),
-            pa.ListArray.from_arrays(lists, pa.array(digest.view(np.int64))),
+            pa.ListArray.from_arrays(lists, digest),
             pa.ListArray.from_arrays(lists, pa.array((high - low).astype(np.int32))),
         ],
         names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
     )
 
 
-def apply_rules(docs: DataFrame, host: str = "source", limit_docs: int = 20, limit_share: float = 0.1, least_words: int = 10, least_share: float = 0.3) -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", limit_docs: int = 20, limit_share: float = 0.1, most_docs: int = 1000, least_words: int = 10, least_share: float = 0.3) -> DataFrame:
     """doc_id, the counts, n_lines_removed, n_words_left, base_failed and kept of every row of ``docs``.
 
-    A line is removed if it stands in more than ``limit_docs`` and more than ``limit_share`` of a host's
-    distinct documents. A document is rejected if ``base_failed``, or if removal leaves it under
-    ``least_words`` or under ``least_share`` of its words. Null texts have no words; a null host is the empty one; rows
+    A line is removed if it stands in more than ``limit_docs`` of a host's distinct documents, and in more than
+    ``limit_share`` of them or more than ``most_docs``, which keeps the limit from rising with a large host. A
+    document is rejected if ``base_failed``, or if removal leaves it under ``least_words`` or under
+    ``least_share`` of its words. Null texts have no words; a null host is the empty one; rows
     that repeat a doc_id count as one document and get a result each; rows with a null doc_id get
     results but don't count. An empty table gives an empty result; other columns are ignored.
     """
@@ -109,26 +130,24 @@ def apply_rules(docs: DataFrame, host: str = "source", limit_docs: int = 20, lim
             yield measure(batch)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
-    measured = materialize(rows.mapInArrow(run, SCHEMA), "rules")
-    hosts = measured.where("doc_id IS NOT NULL").select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    seen = measured.where("doc_id IS NOT NULL").select("host", "doc_id", F.explode(F.array_distinct("lines")).alias("line")).distinct()
+    measured = materialize(rows.mapInArrow(run, SCHEMA).withColumn("row", F.monotonically_increasing_id()), "rules")
+    known = measured.where("doc_id IS NOT NULL")
+    hosts = known.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    seen = known.select("host", "doc_id", F.explode(F.array_distinct("lines")).alias("line")).distinct()
     often = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit_docs).join(hosts, "host")
-    often = often.where(F.col("n") > F.col("host_docs") * limit_share).groupBy("host").agg(F.collect_list("line").alias("often"))
-    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(often, ["host", "salt"], "left")
-    kept_words = F.aggregate(
-        F.filter(F.arrays_zip("lines", "line_words"), lambda x: F.col("often").isNull() | ~F.array_contains("often", x["lines"])),
-        F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("lines")),
-        lambda s, x: F.struct((s["words"] + x["line_words"]).alias("words"), (s["lines"] + 1).alias("lines")),
-    )
+    often = often.where((F.col("n") > F.col("host_docs") * limit_share) | (F.col("n") > most_docs))
+    often = often.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = measured.select("row", "host", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+    own = own.select("row", "host", "salt", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    gone = own.join(often, ["host", "line", "salt"], "left_semi").groupBy("row").agg(F.sum("words").alias("gone_words"), F.count("*").alias("gone_lines"))
+    joined = measured.drop("lines", "line_words").join(gone, "row", "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    left = F.col("left.words")
+    left = F.col("n_words") - F.coalesce("gone_words", F.lit(0))
     depleted = (left < least_words) | (left < F.col("n_words") * least_share)
-    return joined.withColumn("left", kept_words).select(
+    return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (F.size("lines") - F.col("left.lines")).alias("n_lines_removed"),
+        F.coalesce("gone_lines", F.lit(0)).cast("long").alias("n_lines_removed"),
         left.alias("n_words_left"),
         (~failed & ~depleted).alias("kept"),
     )
@@ -151,7 +170,7 @@ line AS (
 hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM t GROUP BY host),
 often AS (
   SELECT host, line FROM line JOIN hosts USING (host) GROUP BY host, line
-  HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > max(host_docs) * 0.1),
+  HAVING count(DISTINCT doc_id) > 20 AND (count(DISTINCT doc_id) > max(host_docs) * 0.1 OR count(DISTINCT doc_id) > 1000)),
 lefts AS (
   SELECT doc_id, sum(n) FILTER (WHERE often.line IS NULL) AS words, count(*) FILTER (WHERE often.line IS NOT NULL) AS gone
   FROM line LEFT JOIN often USING (host, line) GROUP BY doc_id),

@@ -67,3 +67,35 @@ def test_odd_rows(odd):
     rows = quality_rules.apply_rules(odd).collect()
     assert sorted((str(r.doc_id), *map(str, columns(r))) for r in rows) == sorted((str(r.doc_id), *map(str, base(r.text))) for r in odd.collect())
     assert quality_rules.apply_rules(odd.limit(0)).count() == 0
+
+
+def _thue_morse(n):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_texts(spark):
+    """Lines and windows that a polynomial hash confuses are told apart."""
+    rows = []
+    for i, n in enumerate((512, 1024, 2048)):
+        one, other = _thue_morse(n)
+        rows += [(3 * i, f"{one}\n{other}"), (3 * i + 1, f"{' '.join(one)}\n{' '.join(other)}"), (3 * i + 2, f"{one} a b c d\n{other} a b c d")]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in rows], "doc_id long, text string, source string")
+    assert {r.doc_id: columns(r) for r in quality_rules.apply_rules(docs).collect()} == {i: base(t) for i, t in rows}
+    # The line of one letters is in all documents, its complement in one.
+    one, other = _thue_morse(1024)
+    docs = spark.createDataFrame([(i, " ".join(one) if i else " ".join(other), "h") for i in range(30)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_lines_removed for r in quality_rules.apply_rules(docs).collect()}
+    assert got == {i: int(i > 0) for i in range(30)}
+
+
+def test_limit_of_large_hosts(spark):
+    """A line in more than ``most_docs`` documents goes though it is under the share of its host."""
+    foot = "one line that stands below many documents of one host"
+    rows = []
+    for i in range(200):
+        name = "".join("abcdefghij"[int(c)] for c in str(i))  # digits would all be the same
+        rows.append((i, " ".join(name + "xyz"[k % 3] * k for k in range(30)) + (f"\n{foot}" if i % 10 < 3 else ""), "h"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most, gone in ((50, 60), (60, 0)):
+        assert sum(r.n_lines_removed for r in quality_rules.apply_rules(docs, limit_share=0.5, most_docs=most).collect()) == gone
