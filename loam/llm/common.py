@@ -31,15 +31,17 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where none is set a local master gets one of its own; a cluster must set it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return set_already.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loam-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not set_already.isDefined():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loam-"))
+        set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return set_already.get().rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -49,13 +51,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of what ``materialize`` returned, once nothing reads them any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(name)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def drawn(rows: DataFrame, sample: int, *columns: str) -> DataFrame:
+    """About ``sample`` of the rows that differ in ``columns``, by their hash; all of them if there are fewer.
+
+    A hash threshold from the number of rows draws them, so no task holds more than its share. The expected
+    number is the bound; it is met to a few times its square root.
+    """
+    found = rows.select(*columns).distinct()
+    share = sample / max(found.count(), 1)
+    return found if share >= 1 else found.where(F.pmod(F.xxhash64(F.lit(17), *columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

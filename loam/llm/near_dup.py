@@ -19,16 +19,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, buffer, mix, span_hashes, spans
 from .bktree import Forest, merge
-from .common import materialize, partitions, slices, utf8
+from .common import discard, materialize, partitions, slices, utf8
 
 QUARTERS, BITS = 4, 16
 #: Entries of one shard's tree; a larger shard is split into several trees that each of its queries visits.
 TREE_LIMIT = 50_000
+#: What a row is in its tree: one to search for, one that is found, or both.
+QUERY, ENTRY = 1, 2
+#: Rows whose trees a task builds at a time.
+HELD = 400_000
 #: Bands of MinHash values; a band's key has the first KEY of them, where its group is large all FINE of them.
 BANDS, KEY, FINE = 16, 4, 6
 #: Members of a band's group that are compared with each other; in a larger one each is compared with one member.
@@ -54,7 +58,7 @@ def simhash(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fingerprint (bigint holding the 64 bits) of every row of ``docs``.
+    """doc_id, text_key (hash of the text), fingerprint (bigint holding the 64 bits) of every row of ``docs``.
 
     Null and wordless texts have fingerprint 0. Rows are kept as they are: a repeated doc_id gives
     repeated rows; a null doc_id stays null. Other columns are ignored.
@@ -63,10 +67,10 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             prints = np.array([simhash(t, words) for t in utf8(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fingerprint"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(prints)], names=["doc_id", "text_key", "fingerprint"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fingerprint long")
 
 
 def shard_links(distinct: DataFrame, radius: int = 3, tree_limit: int = TREE_LIMIT) -> DataFrame:
@@ -83,28 +87,52 @@ def shard_links(distinct: DataFrame, radius: int = 3, tree_limit: int = TREE_LIM
     hot = entries.groupBy("shard").count().where(F.col("count") > tree_limit)
     hot = hot.select("shard", F.ceil(F.col("count") / tree_limit).cast("int").alias("trees"))
     trees = F.coalesce("trees", F.lit(1))
-    visits = entries.join(hot, "shard", "left").withColumn("own", F.pmod(F.xxhash64("fingerprint"), trees).cast("int"))
-    visits = visits.withColumn("tree", F.explode(F.sequence(F.lit(0), trees - 1)))
-    visits = visits.select("fingerprint", (F.col("shard") * 1_000_000 + F.col("tree")).cast("long").alias("shard"), (F.col("own") == F.col("tree")).alias("entry"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
+    # A hot shard has several trees and as many parts of queries, every tree and part a unit of its own: an entry
+    # goes to its tree's units, a query to its part's.
+    own, part = (F.pmod(F.xxhash64(F.lit(k), "fingerprint"), trees).cast("int") for k in (0, 1))
+    every = F.sequence(F.lit(0), trees - 1)
+
+    def unit(tree: Column, queries: Column, role: int) -> Column:
+        return F.struct(tree.alias("tree"), queries.alias("part"), F.lit(role).alias("role"))
+
+    units = F.concat(F.transform(every, lambda t: unit(t, part, QUERY)), F.transform(every, lambda q: unit(own, q, ENTRY)))
+    units = F.when(trees == 1, F.array(unit(own, part, QUERY + ENTRY))).otherwise(units)
+    visits = entries.join(hot, "shard", "left").select("fingerprint", "shard", F.explode(units).alias("u"))
+    # 18 bits of shard, 22 each of tree and part: 2**22 trees of 50,000 are more fingerprints than a shard can have.
+    unit_number = F.shiftleft(F.col("shard").cast("long"), 44) + F.shiftleft(F.col("u.tree").cast("long"), 22) + F.col("u.part")
+    visits = visits.select("fingerprint", unit_number.alias("unit"), F.col("u.role").alias("role"))
+
+    def search(rows: pa.Table) -> pa.RecordBatch:
         prints = rows["fingerprint"].to_numpy().view(np.uint64)
-        shard, entry = rows["shard"].to_numpy(), rows["entry"].to_numpy(zero_copy_only=False)
+        unit, role = rows["unit"].to_numpy(), rows["role"].to_numpy()
         values, number = np.unique(prints, return_inverse=True)
-        place = np.flatnonzero(entry)
-        forest = Forest(prints[place], shard[place])
+        place, asked = np.flatnonzero(role & ENTRY), np.flatnonzero(role & QUERY)
+        forest = Forest(prints[place], unit[place])
         label = np.arange(len(values))
-        for query, found in forest.within(prints, shard, radius):
-            merge(label, number[query], number[place[found]])
+        for query, found in forest.within(prints[asked], unit[asked], radius):
+            merge(label, number[asked[query]], number[place[found]])
         linked = np.flatnonzero(label != np.arange(len(values)))
         signed = values.view(np.int64)
-        yield pa.record_batch([pa.array(signed[linked]), pa.array(signed[label[linked]])], names=["a", "b"])
+        return pa.record_batch([pa.array(signed[linked]), pa.array(signed[label[linked]])], names=["a", "b"])
 
-    return visits.repartition(partitions(distinct.sparkSession), "shard").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole units at a time, about HELD rows of them."""
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= HELD:
+                table = pa.Table.from_batches(held)
+                last = int(np.searchsorted(table["unit"].to_numpy(), table["unit"][-1].as_py()))
+                if last:
+                    yield search(table.slice(0, last))
+                held = table.slice(last).to_batches()
+                rows -= last
+        if rows:
+            yield search(pa.Table.from_batches(held))
+
+    parts = partitions(distinct.sparkSession)
+    return visits.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -123,6 +151,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         step = step.join(jump, "least").select("node", F.least("least", "jump").alias("new"), F.col("label").alias("old"))
         step = materialize(step, "labels")
         changed = step.where("new != old").limit(1).count()
+        discard(labels)
         labels = step.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
@@ -137,6 +166,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tree_limit
     An empty table gives an empty result. Ties do not occur: the least id is unique.
     n_copies counts the rows with the same fingerprint.
     """
+    return _near_duplicates(docs, words, radius, tree_limit).drop("text_key")
+
+
+def _near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tree_limit: int = TREE_LIMIT) -> DataFrame:
+    """``near_duplicates`` with the text_key of every row."""
     prints = materialize(fingerprints(docs, words), "prints")
     groups = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "groups")
     labels = components(shard_links(groups.select("fingerprint"), radius, tree_limit))
@@ -144,20 +178,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tree_limit
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("fingerprint", "component_id", "n_copies")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
-    return prints.join(named, "fingerprint").select("doc_id", hexed.alias("fingerprint"), "component_id", "n_copies")
+    return prints.join(named, "fingerprint").select("doc_id", "text_key", hexed.alias("fingerprint"), "component_id", "n_copies")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without the near-duplicates: of each component the row of its least doc_id.
 
-    Columns stay as they are. Rows with a null doc_id are kept. Of rows that repeat a doc_id all stay.
+    Columns stay as they are. Rows with a null doc_id are kept. A row is dropped for its own text only, also where its
+    doc_id is repeated; rows that repeat both are one document and stay or go together. An empty table gives an empty result.
     """
-    return _kept(docs, near_duplicates(docs, **how))
+    return _kept(docs, _near_duplicates(docs, **how))
 
 
 def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    drop = found.where("doc_id != component_id").select(F.col("doc_id").alias("_loam_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_loam_drop"], "left_anti")
+    drop = found.where("doc_id != component_id").select(F.col("doc_id").alias("_loam_drop"), F.col("text_key").alias("_loam_key")).distinct()
+    return docs.join(drop, (docs["doc_id"] == drop["_loam_drop"]) & (F.xxhash64(docs["text"].cast("string")) == drop["_loam_key"]), "left_anti")
 
 
 def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +273,7 @@ def candidates(sets: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, component_id of every row of ``docs``: the least doc_id reachable over texts that are similar.
+    """doc_id, text_key (hash of the text), component_id of every row of ``docs``: the least doc_id reachable over texts that are similar.
 
     Similar are texts whose sets of ``words``-word shingles, A-Z lowered, have a Jaccard similarity of ``percent``
     or more. Every link is checked by the hashes of all shingles. A pair at just 0.8 shares a band with
@@ -269,7 +304,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     labels = components(materialize(links, "similar"))
     named = sets.select("set_key", "least").join(labels.toDF("set_key", "label"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return drawn.select("doc_id", "set_key").join(named.join(least, "label").select("set_key", "component_id"), "set_key").select("doc_id", "component_id")
+    return drawn.select("doc_id", "text_key", "set_key").join(named.join(least, "label").select("set_key", "component_id"), "set_key").select("doc_id", "text_key", "component_id")
 
 
 def keep_one_similar(docs: DataFrame, **how) -> DataFrame:

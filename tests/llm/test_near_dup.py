@@ -108,3 +108,13 @@ def test_similar_odd_rows(odd):
     assert near_dup.similar(odd).count() == odd.count() and near_dup.similar(odd.limit(0)).count() == 0
     assert got[0] == got[1] == got[2] == 0 and got[7] == 6 and got[3] == 3
     assert near_dup.keep_one_similar(odd).columns == odd.columns
+
+
+def test_repeated_ids(spark):
+    """Another text under a repeated doc_id stays; rows that repeat a document go or stay together."""
+    a, other = "one text of some words that is there twice", "quite another text that nobody else has written"
+    rows = spark.createDataFrame([(1, a), (2, a), (2, other), (3, a), (3, a), (4, None), (4, "")], "doc_id long, text string")
+    for kept in (near_dup.keep_one(rows), near_dup.keep_one_similar(rows)):
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (2, other), (4, None), (4, "")], key=str)
+    for kept in (near_dup.keep_one(rows.limit(0)), near_dup.keep_one_similar(rows.limit(0))):
+        assert kept.columns == rows.columns and kept.count() == 0
