@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, SEPARATOR, buffer
-from .common import remainder, slices
+from .common import drawn, remainder, slices
 
 GRAMS, BUCKET_BITS = 3, 11
 BUCKETS = 1 << BUCKET_BITS
-#: Labelled rows that the classifiers are fitted on, at most: those of least hashed doc_id.
+#: Labelled rows that the classifiers are fitted on, about at most, drawn by hash (``drawn``); rows that repeat one teach once.
 SAMPLE = 8_000
 EPOCHS, SEED = 30, 11
 _BYTE = LOWER.copy()
@@ -106,14 +106,14 @@ class Codes:
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Codes | None:
     """Classifiers from ``rows`` (doc_id, text, lang, letters), without the held-out ones (crc32 mod 4 is 2)."""
     usable = rows.where(F.col("lang").isNotNull() & F.col("letters") & (remainder(F.col("doc_id"), 4) != 2))
-    chosen = usable.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).distinct()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             yield pa.record_batch([pa.array([x.tobytes() for x in features(batch.column("text"))], pa.binary()), batch.column("lang")], names=["x", "lang"])
 
-    # At most ``sample`` ids; rows that repeat one are all learnt from.
-    found = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang").mapInArrow(run, "x binary, lang string").limit(2 * sample).toArrow()
+    usable = usable.withColumn("text_key", F.xxhash64("text"))
+    chosen = drawn(usable, sample, "doc_id", "lang", "text_key")
+    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang", "text_key"], "left_semi").dropDuplicates(["doc_id", "lang", "text_key"])
+    found = texts.select("text", "lang").mapInArrow(run, "x binary, lang string").toArrow()
     if not found.num_rows:
         return None
     order = np.lexsort((found["x"].to_numpy(zero_copy_only=False), found["lang"].to_numpy(zero_copy_only=False)))

@@ -11,6 +11,7 @@ does not see calibrates its probabilities.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SEPARATOR, Hasher, buffer, mix, spans
-from .common import materialize, partitions, remainder, slices
+from .common import drawn, materialize, partitions, remainder, slices
 
 WORD_BUCKETS, SHAPE_BUCKETS, SIZE, NONZERO, REACH = 1 << 13, 1 << 11, 32, 4, 2
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 INPUTS = 2 * SIZE + 1
-#: Labelled rows that the network is fitted on, at most: those of least hashed doc_id.
+#: Labelled rows that the network is fitted on, about at most, drawn by hash (``drawn``).
 SAMPLE = 20_000
 HIDDEN, EPOCHS, SEED = 24, 60, 7
 
@@ -101,7 +102,7 @@ def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id and the pooled vector of every row, as the bytes of INPUTS float32; zeros without a word."""
+    """doc_id, text_key (hash of the text) and the pooled vector of every row, as the bytes of INPUTS float32; zeros without a word."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS * SIZE floats
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +121,9 @@ def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
                     out[full, SIZE + k] = np.add.reduceat(dimension[shapes], at) / counts[full]
                 alike[at] = 0
                 out[full, 2 * SIZE] = np.add.reduceat(alike, at) / counts[full]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "pooled"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "text_key", "pooled"])
 
-    return docs.select("doc_id", "text").mapInArrow(pool, "doc_id long, pooled binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(pool, "doc_id long, text_key long, pooled binary")
 
 
 class Network:
@@ -172,7 +173,8 @@ class Network:
 def train(pooled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """The network from pooled vectors and labels.quality, without the held-out rows (crc32 mod 4 is 2)."""
     marked = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 4) != 2)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    rows = pooled.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "pooled").limit(sample).select("pooled", "quality").collect()
+    rows = drawn(materialize(pooled.join(marked, "doc_id").select("doc_id", "quality", "pooled"), "labelled"), sample, "doc_id", "quality", "pooled").collect()
+    rows.sort(key=lambda r: (zlib.crc32(b"%d" % r.doc_id), r.doc_id, r.quality, r.pooled))
     x = np.array([np.frombuffer(r.pooled, "<f4") for r in rows], float).reshape(-1, INPUTS)
     return Network(x, np.array([r.quality for r in rows], float))
 
@@ -184,6 +186,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
     score is 0.5. Null and wordless texts are scored by the zero vector. Repeated rows are each scored; a
     null doc_id is never held out (false). An empty table gives an empty result; other columns are ignored.
     """
+    return _scored(docs, labels, threshold, sample).drop("text_key")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+    """``score`` with the text_key of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vectors, _ = word_vectors(rows.select("text"))
     pooled = materialize(document_vectors(rows, vectors), "pooled")
@@ -192,14 +199,17 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column("pooled").to_pylist()), "<f4").reshape(-1, INPUTS).astype(float)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(network(x))], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(network(x))], names=["doc_id", "text_key", "score"])
 
-    scored = pooled.mapInArrow(run, "doc_id long, score double")
+    scored = pooled.mapInArrow(run, "doc_id long, text_key long, score double")
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", "text_key", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject; rows with a null doc_id are kept."""
-    low = score(docs, labels, threshold, **how).where("predicted = 0").select(F.col("doc_id").alias("_loam_drop")).distinct()
-    return docs.join(low, docs["doc_id"] == low["_loam_drop"], "left_anti")
+    """The rows of ``docs`` that the classifier does not reject; rows with a null doc_id are kept.
+
+    A row is dropped for its own text only, also where its doc_id is repeated. An empty table gives an empty result.
+    """
+    low = _scored(docs, labels, threshold, **how).where("predicted = 0").select(F.col("doc_id").alias("_loam_drop"), F.col("text_key").alias("_loam_key")).distinct()
+    return docs.join(low, (docs["doc_id"] == low["_loam_drop"]) & (F.xxhash64(docs["text"].cast("string")) == low["_loam_key"]), "left_anti")

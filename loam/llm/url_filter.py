@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import buffer, mix
-from .common import ascii_lower, slices
+from .common import ascii_lower, drawn, slices
 
 ORDERS, CONTEXTS, SYMBOLS = 5, 1 << 12, 64
 CELLS = ORDERS * CONTEXTS * SYMBOLS
-#: Labelled URLs that the calibration curve is fitted on, at most: those of least hash.
+#: Different labelled URLs that the calibration curve is fitted on, about at most, drawn by hash (``drawn``).
 CALIBRATION_ROWS = 20_000
 #: One symbol for each of these characters, two more for other ASCII and for other bytes.
 ALPHABET = b"abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=%"
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Models
     if not (counts[0].any() and counts[1].any()):
         return None
     models = Models(counts)
-    held = rows.where("part = 0").select("url", "accepted").orderBy(F.xxhash64("url", F.lit(1)), "url", "accepted").limit(calibration_rows).toArrow()
+    held = drawn(rows.where("part = 0"), calibration_rows, "url", "accepted").toArrow().sort_by([("url", "ascending"), ("accepted", "ascending")])
     if held.num_rows:
         models.calibrate(models.difference(held["url"].combine_chunks()), held["accepted"].to_numpy().astype(float))
     return models

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.llm import lang_id, lm_score, quality_model, queries, url_filter
-from loam.llm.common import table
+from loam.llm.common import drawn, table
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -72,16 +72,42 @@ def test_lm_base_and_gain(more):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_probabilities_sum_to_one():
-    class Words:
-        other_total, other_distinct = 0, 0
-
+def test_lm_probabilities():
+    """Sum to one over the vocabulary, and are those of the plain softmax of both steps."""
     draw = np.random.default_rng(2)
-    p = lm_score.Parameters(9, share=np.full(9, 1 / 9))
-    p.flat += draw.normal(0, 0.5, len(p.flat))
-    scorer = lm_score.Scorer(p, Words())
-    log = scorer.first[:, None, :] + scorer.second[None, :, :] - scorer.norm[:, :, None]
-    assert np.exp(log).sum(2) == pytest.approx(np.ones((9, 9)))
+    vocabulary = lm_score.Vocabulary(np.sort(draw.zipf(1.3, 60).clip(1, 5000))[::-1].astype(float), 1, 0, 0, classes=7)
+    assert 3 < len(vocabulary.class_share) <= 7 and np.diff(vocabulary.edges).max() > 3
+    p = lm_score.Parameters(vocabulary)
+    p.flat += draw.normal(0, 0.5, len(p.flat)).astype(np.float32)
+    for one, two in ((0, 0), (3, 59), (17, 1)):
+        log = p.log_probabilities(np.full(60, one), np.full(60, two), np.arange(60), room=64)
+        h = p.r[one].astype(float) @ p.c1 + p.r[two].astype(float) @ p.c2
+        classes = np.exp(p.u @ h + p.a)
+        words = np.exp(p.q @ h + p.b)
+        plain = [np.log(classes[k] / classes.sum() * words[w] / words[vocabulary.of == k].sum()) for w, k in enumerate(vocabulary.of)]
+        assert np.exp(log).sum() == pytest.approx(1, abs=1e-4) and log == pytest.approx(plain, abs=1e-4)
+
+
+def test_lm_learns_word_order(spark):
+    """Texts that walk round a ring of words: the model tells the next word, the base can't."""
+    rows = [(i, " ".join(f"w{(i + k) % 40}" for k in range(60))) for i in range(400)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3, block_bytes=4096).where("held_out").collect()
+    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+
+
+def test_lm_does_not_depend_on_partitions(spark, docs):
+    a, b = ({r.doc_id: r.score for r in lm_score.score(docs.repartition(n)).collect()} for n in (2, 7))
+    assert a == pytest.approx(b, rel=1e-6)
+
+
+def test_lm_structured_words(spark):
+    """Words that a polynomial hash confuses are counted apart."""
+    rows = []
+    for i, n in enumerate((512, 1024, 2048)):
+        one = "".join("ab"[bin(x).count("1") % 2] for x in range(n))
+        rows += [(2 * i, one + " x"), (2 * i + 1, one.translate(str.maketrans("ab", "ba")) + f" {one} y")]
+    got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((i, n, known, total, round(base, 6)) for i, n, known, total, base in unigram(rows))
 
 
 def test_lm_odd_rows(odd):
@@ -119,6 +145,25 @@ def test_quality_odd_rows(odd, spark):
     assert kept.columns == odd.columns
 
 
+def test_quality_of_repeated_ids(spark, more):
+    """A row is dropped for its own text only."""
+    labels = table(spark, SMALL, "labels")
+    scored = quality_model.score(more, labels).join(more.select("doc_id", "text"), "doc_id").collect()
+    good, bad = (next(r.text for r in scored if r.predicted == x) for x in (1, 0))
+    rows = more.select("doc_id", "text").union(spark.createDataFrame([(-1, good), (-1, bad), (-2, bad), (None, bad)], "doc_id long, text string"))
+    kept = quality_model.keep_good(rows, labels).where("doc_id < 0 OR doc_id IS NULL").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(-1, good), (None, bad)], key=str)
+    assert quality_model.keep_good(rows.limit(0), labels).count() == 0
+
+
+def test_drawn_samples(spark):
+    """The number drawn keeps to the bound, repeats count once, and what is drawn doesn't depend on partitions."""
+    rows = spark.range(20_000).selectExpr("id % 10000 AS a", "'x' AS b")
+    got = {r.a for r in drawn(rows, 1000, "a", "b").collect()}
+    assert 850 < len(got) < 1150 and got == {r.a for r in drawn(rows.repartition(7), 1000, "a", "b").collect()}
+    assert drawn(rows, 10_000, "a", "b").count() == 10_000 and drawn(rows.limit(0), 5, "a", "b").count() == 0
+
+
 def url_parts(url):
     if url is None or "://" not in url:
         return "", ""
