@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Fixed value: white space as script languages have it, which is wider than Spark's and Java's.
 SPACE = r"\s   -     　﻿"
 
 
+#: The same characters, each by itself.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normal_email(c: Column) -> Column:
@@ -51,6 +56,7 @@ MASKED_KEYS = """password pwd token secret apikey api_key authorization authhead
 accesstoken sessionid csrftoken privatekey encryptionkey clientsecret cookie cardnumber pan cvc cvv cardholdername
 businessregistrationnumber bizregnumber ssn rrn residentnumber personalid passport driverlicense nationalid""".split()
 DUMP_KEYS = "rawpayload payload body headers params raw formdata queryparams searchparams".split()
+#: A signed token inside a text, and home folders of three systems.
 JWT = r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 HOMES = (r"/home/[^/\s]+/", r"/Users/[^/\s]+/", r"[A-Z]:\\Users\\[^\\]+\\")
 
@@ -67,6 +73,32 @@ def mask(key: Column, value: Column) -> Column:
     )
 
 
+#: Fixed value: how deep nested values are masked.
+MASK_DEPTH = 6
+
+
+def mask_nested(name: str, value: Column, kind: DataType, depth: int = 0) -> Column:
+    """A log value of any type without secrets: structs and arrays are masked part by part, as their schema has them.
+
+    Masked and redacted values become strings; what lies deeper than MASK_DEPTH is cut. Elements of an array bear no key of their own.
+    """
+    k = name.lower()
+    if k in MASKED_KEYS or k in DUMP_KEYS:
+        return F.when(value.isNotNull(), F.lit("[MASKED]" if k in MASKED_KEYS else "[REDACTED:raw_dump]"))
+    if isinstance(kind, StringType):
+        return mask(F.lit(k), value)
+    if isinstance(kind, (StructType, ArrayType, MapType)) and depth >= MASK_DEPTH:
+        return F.when(value.isNotNull(), F.lit("[TRUNCATED:depth]"))
+    if isinstance(kind, StructType):
+        fields = [mask_nested(f.name, value[f.name], f.dataType, depth + 1).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: mask_nested(f"{k}[]", x, kind.elementType, depth + 1))
+    if isinstance(kind, MapType) and isinstance(kind.valueType, StringType):
+        return mask_map(value)
+    return value
+
+
 def mask_map(context: Column) -> Column:
     return F.transform_values(context, lambda k, v: mask(k, v))
 
@@ -99,3 +131,41 @@ def breach_count(body: Column, suffix: Column) -> Column:
     hit = F.get(F.filter(lines, lambda x: F.upper(F.substring_index(x, ":", 1)) == F.upper(suffix)), 0)
     count = F.coalesce(F.substring_index(hit, ":", -1).try_cast("int"), F.lit(0))
     return F.when(F.coalesce(trim(body), F.lit("")) == "", F.lit(None)).otherwise(F.greatest(count, F.lit(0)))
+
+
+def grouped(c: Column, decimals: int = 0) -> Column:
+    """A number with thousands separated by commas."""
+    return F.format_number(c, decimals)
+
+
+def won(c: Column) -> Column:
+    """An amount of money, without decimals."""
+    return F.concat(F.lit("\u20a9"), F.format_number(c, 0))
+
+
+def one_decimal_percent(share: Column) -> Column:
+    return F.concat(F.format_string("%.1f", (share * 100).cast("double")), F.lit("%"))
+
+
+#: What a user reads when a service is degraded; %s is the page, or the unit.
+DEGRADED = {
+    "low_similarity": "이 주제는 교재 %s가 더 정확합니다. AI 해설 대신 교재 원문을 권장합니다.",
+    "d1_5xx_with_kv": "현재 일시적으로 최신 데이터 로드에 문제가 있어 최근 응답을 보여드립니다. 최신 정보는 교재 %s를 확인하세요.",
+    "d1_5xx_no_kv": "일시적인 접속 문제로 이 정보를 불러올 수 없습니다. 잠시 후 다시 시도해주시거나 교재 %s를 참고하세요.",
+    "write_path_503": "저장 중 문제가 발생했습니다. 잠시 후 자동 재시도합니다.",
+    "claude_rate_limit": "잠시 후 다시 시도해주세요. 즉시 학습을 계속하려면 교재 %s를 참고하세요.",
+}
+
+
+def degradation(reason: Column, page: Column) -> Column:
+    """The text for a reason, with the page if it is known; null for an unknown reason."""
+    place = F.coalesce(F.concat(page.cast("string"), F.lit(" 페이지")), F.lit("해당 단원"))
+    out = F.lit(None).cast("string")
+    for name, template in DEGRADED.items():
+        out = F.when(reason == name, F.replace(F.lit(template), F.lit("%s"), place)).otherwise(out)
+    return out
+
+
+def text_list(c: Column) -> Column:
+    """The strings of a JSON array in a text column; empty where it is null or malformed."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))

@@ -51,3 +51,19 @@ def enrich(rows: DataFrame) -> DataFrame:
 def stats(enriched: DataFrame) -> DataFrame:
     level = [F.count_if(F.col("confusion_level") == x).alias(x) for x in ("danger", "warn", "safe")]
     return enriched.agg(F.count("*").alias("total"), F.count("numeric_value").alias("numeric_parsed"), F.count("unit").alias("with_unit"), *level)
+
+
+def resolve(rows: DataFrame, name: str, constants: DataFrame) -> DataFrame:
+    """``rows`` with value: the number of the constant that the column ``name`` names, null where there is none.
+
+    ``constants`` has id, name and numeric_value; of several with one name the last by id counts. Names are joined, not collected.
+    """
+    known = constants.groupBy(F.col("name").alias(name)).agg(F.max_by("numeric_value", "id").alias("value"))
+    return rows.drop("value").join(known, name, "left")
+
+
+def risk_text(tagged: DataFrame, names: DataFrame, key: str = "id") -> DataFrame:
+    """``tagged`` with confusion_risk: the name of the nearest constant and the difference in percent; null where it is safe."""
+    other = names.select(F.col(key).alias("confusion_with"), F.col("name").alias("_other"))
+    text_of = F.concat(F.col("_other"), F.lit(" (차이 "), text.one_decimal_percent(F.col("confusion_diff")), F.lit(")"))
+    return tagged.join(other, "confusion_with", "left").withColumn("confusion_risk", text_of).drop("_other")

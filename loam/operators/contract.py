@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The ontology.
@@ -131,3 +131,37 @@ def to_tables(contracts: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]
     nodes = _rows(contracts, "nodes", key).select(key, "id", "type", F.col("title").alias("name"), F.col("content").alias("description"), "lv1_insurance", "lv2_crop", "lv3_investigation", F.col("source_page").cast("string").alias("page_ref"), F.coalesce(F.col("truth_weight").cast("int"), default).alias("truth_weight"))
     edges = _rows(contracts, "edges", key).select(key, F.concat_ws(":", "source_id", "edge_type", "target_id").alias("id"), F.col("source_id").alias("from_node"), F.col("target_id").alias("to_node"), "edge_type", "condition")
     return {"knowledge_nodes": nodes, "knowledge_edges": edges, "formulas": _rows(contracts, "formulas", key), "constants": _rows(contracts, "constants", key)}
+
+
+def batch_results(contracts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for each reply: status (success, failed) and error, which names the number of violations and the first three."""
+    rows = report(contracts, key)
+    found = F.concat(F.lit("Ontology validation failed: "), F.col("n_errors").cast("string"), F.lit(" error(s). Sample: "), F.array_join("samples", "; "))
+    n = sum((F.col(f"n_{p}") for p in PARTS[1:]), F.col(f"n_{PARTS[0]}"))
+    error = F.when(n.isNull() | (n < 0), "the reply holds no contract").when(F.col("n_errors") > 0, found)
+    return rows.select(key, F.when(error.isNull(), "success").otherwise("failed").alias("status"), error.alias("error"))
+
+
+# The stages of a batch in order, and the five batches.
+STAGES = "pdf_extract section_split batch_structurize constants_extract db_load integrity_check human_review formula_verify qg2_gate".split()
+BATCHES = [
+    ("BATCH-1", "p.403~434", "적과전 종합위험", 60, 200, 13), ("BATCH-2", "p.435~500", "종합위험 수확감소 16종", 80, 300, 17), ("BATCH-3", "p.501~521", "논작물(벼, 맥류)", 40, 120, 8),
+    ("BATCH-4", "p.522~576", "밭작물", 60, 200, 15), ("BATCH-5", "p.577~647", "시설작물 + 수입감소", 60, 200, 15),
+]
+
+
+def batches(spark) -> DataFrame:
+    return spark.createDataFrame(BATCHES, "batch_id string, page_range string, description string, expected_nodes int, expected_edges int, expected_formulas int")
+
+
+def stage_results(outcomes: DataFrame, key: str = "batch_id") -> DataFrame:
+    """key, pos, stage, status of every stage of every batch in ``outcomes`` (key, stage, ok): success, failed, or skipped.
+
+    A stage runs only after all before it succeeded; one without an outcome is skipped, and so is what comes behind it.
+    """
+    names = F.array(*map(F.lit, STAGES))
+    every = outcomes.select(key).distinct().select(key, F.posexplode(names).alias("pos", "stage"))
+    rows = every.join(outcomes.groupBy(key, "stage").agg(F.bool_and("ok").alias("ok")), [key, "stage"], "left")
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    through = F.coalesce(F.min(F.coalesce("ok", F.lit(False))).over(before), F.lit(True))
+    return rows.select(key, "pos", "stage", F.when(~through | F.col("ok").isNull(), "skipped").when(F.col("ok"), "success").otherwise("failed").alias("status"))

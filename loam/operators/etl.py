@@ -16,7 +16,7 @@ from loam.functions.text import clean_cell, shorten, trim
 
 # Headings by level, running headers, and the footers of exam sheets.
 HEADINGS = (("chapter", r"^제\s*(\d+)\s*장\s+(.+)"), ("section", r"^제\s*(\d+)\s*절\s+(.+)"), ("subsection", r"^(\d{1,2})\.\s+(.+)"), ("item", r"^([가나다라마바사아자차카타파하])\.\s+(.+)"))
-NOISE = r"^농작물재해보험\s*(및|&)\s*가축재해보험\s*손해평가의\s*이론과\s*실무|^[12]권\."
+NOISE = r"^농작물재해보험\s*(및|&)\s*가축재해보험\s*손해평가의\s*이론과\s*실무|^[12]권\.|^-\s*\d권\s*$"
 FOOTER = r"^\s*\d{4}년[도]?\s*제?\d{1,2}회\s*손해평가사|^\s*\(\s*\d+\s*-\s*\d+\s*\)\s*$"
 SUBJECTS = ((r"(?i)상법\s*[(（]?\s*보험편\s*[)）]?", "상법보험편"), (r"｢상법｣\s*보험편", "상법보험편"), (r"농어업재해보험법령", "농어업재해보험법령"), (r"농작물재해보험\s*(및|&)\s*가축재해보험", "농어업재해보험법령"), (r"농학\s*개론", "농학개론"))
 EXAM_FILE = r"(\d{4})년[도]?\s*제?(\d{1,2})회"

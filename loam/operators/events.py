@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.crypto import hmac_sha256_hex, same_hex, too_large
+from loam.functions.text import mask_nested, redact_homes
 
 # Seconds after a rotation in which a replay is harmless, days a session lives, and days of a mature card.
 GRACE_SECONDS, SESSION_DAYS, MATURE_DAYS = 60, 30, 21
@@ -135,17 +136,111 @@ def without_limiter(environment: Column) -> Column:
     return F.when(environment.isin("production", "staging"), "deny").otherwise("allow")
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.6) -> DataFrame:
+#: Bytes of stated queries that a broadcast may hold, and parts of a label where they are shuffled instead.
+QUERY_BYTES, LABEL_PARTS = 64 << 20, 32
+
+
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.6, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, similarity: each query's ``k`` most similar vectors of its label, above ``floor``.
 
-    ``vectors`` and ``queries`` have vec_id, embedding, label. The label is the filter that comes first. Queries
-    are a stated set; the best are cut for each query and vector shard before they meet.
+    ``vectors`` and ``queries`` have vec_id, embedding, label. The label is the filter that comes first. Queries are a
+    stated set: while their measured bytes allow, they are broadcast, so vectors stay where they are and every task keeps
+    the best of its own; beyond that each label's vectors are dealt into parts that all of its queries visit.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v = vectors.select("vec_id", "label", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
     q = queries.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("asked"), F.sqrt(dot("embedding", "embedding")).alias("asked_norm"))
-    pairs = q.join(v, "label").where("query_id != vec_id")
+    held = queries.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
+    if held <= query_bytes:
+        pairs = v.join(F.broadcast(q), "label")
+    else:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(LABEL_PARTS - 1)))
+        pairs = v.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(LABEL_PARTS)).cast("int")).join(q.withColumn("part", parts), ["label", "part"])
     sim = F.try_divide(dot("asked", "embedding"), F.col("asked_norm") * F.col("norm"))
-    scored = pairs.select("query_id", "vec_id", F.round(sim, 9).alias("similarity"))
+    scored = pairs.where("query_id != vec_id").select("query_id", "vec_id", F.round(sim, 9).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return scored.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("similarity") >= floor)).select("query_id", "rank", "vec_id", "similarity")
+    return scored.where(F.col("similarity") >= floor).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
+
+
+def by_truth(similar: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``similar`` (vec_id, similarity) with truth_weight and score, their product; ``nodes`` has vec_id and truth_weight."""
+    joined = similar.join(nodes.select("vec_id", "truth_weight"), "vec_id")
+    return joined.withColumn("score", F.col("similarity") * F.col("truth_weight"))
+
+
+def by_priority(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows by exam_priority, then exam_frequency, both descending with nulls last, then id."""
+    return rows.orderBy(F.desc_nulls_last("exam_priority"), F.desc_nulls_last("exam_frequency"), "id").limit(limit)
+
+
+def new_sessions(logins: DataFrame, now: Column) -> DataFrame:
+    """Rows for the sessions of ``logins`` (id, user_id, refresh_token_hash, user_agent, ip_hash): live for SESSION_DAYS."""
+    return logins.select(
+        "id", "user_id", "refresh_token_hash", now.alias("created_at"), now.alias("last_used_at"), (now + F.make_dt_interval(F.lit(SESSION_DAYS))).alias("expires_at"),
+        F.lit(None).cast("timestamp").alias("revoked_at"), "user_agent", "ip_hash",
+    )
+
+
+def unexpired(sessions: DataFrame, now: Column) -> DataFrame:
+    """``sessions`` without those that ran out before ``now`` and were never revoked; revoked ones stay for the reuse check."""
+    return sessions.where(~F.coalesce((F.col("expires_at") <= now) & F.col("revoked_at").isNull(), F.lit(False)))
+
+
+# Days in which an order may be taken back, days that personal data are kept, and years that contracts are.
+REFUND_DAYS, PERSONAL_DAYS, CONTRACT_YEARS = 7, 365 * 3, 5
+REPLAY_SECONDS = 300
+
+
+def retention(at: Column, now: Column) -> Column:
+    """What may or must be done with a record of ``at``: struct of refundable, personal_due and contract_due."""
+    return F.struct(
+        (now <= at + F.make_dt_interval(F.lit(REFUND_DAYS))).alias("refundable"),
+        (now > at + F.make_dt_interval(F.lit(PERSONAL_DAYS))).alias("personal_due"),
+        (now > F.add_months(at, 12 * CONTRACT_YEARS).cast("timestamp") + (at - F.date_trunc("day", at))).alias("contract_due"),
+    )
+
+
+def in_replay_window(sent: Column, received: Column) -> Column:
+    """Whether the two times are within five minutes; null times are not."""
+    return F.coalesce(F.abs(F.unix_seconds(sent) - F.unix_seconds(received)) <= REPLAY_SECONDS, F.lit(False))
+
+
+#: The longest ids of a payment, and the largest amount.
+LONGEST_ID, LARGEST_AMOUNT = 128, 100_000_000
+
+
+def payment_state(payload: Column) -> Column:
+    """ok, malformed, bad_user, bad_transaction or bad_amount of a payment's JSON: userId, transactionId, amountKRW."""
+    parsed = F.try_parse_json(payload)
+    text_of = lambda p: F.when(F.schema_of_variant(F.variant_get(parsed, p, "variant")) == "STRING", F.variant_get(parsed, p, "string"))
+    amount = F.try_variant_get(parsed, "$.amountKRW", "double")
+    numeric = F.schema_of_variant(F.variant_get(parsed, "$.amountKRW", "variant")) != "STRING"
+    whole = numeric & (amount == F.floor(amount)) & (amount > 0) & (amount <= LARGEST_AMOUNT)
+    named = lambda p: F.coalesce(F.length(text_of(p)).between(1, LONGEST_ID), F.lit(False))
+    return F.when(parsed.isNull(), "malformed").when(~named("$.userId"), "bad_user").when(~named("$.transactionId"), "bad_transaction").when(~F.coalesce(whole, F.lit(False)), "bad_amount").otherwise("ok")
+
+
+#: The levels of a log in order, and how many causes of an error are written.
+LEVELS, CAUSES = ["debug", "info", "warn", "error"], 8
+
+
+def causes(chain: Column) -> Column:
+    """An error and its causes (array of name, message, stack), home folders removed from stacks, cut after CAUSES."""
+    kept = F.transform(F.slice(chain, 1, CAUSES), lambda e: F.struct(e["name"].alias("name"), e["message"].alias("message"), redact_homes(e["stack"]).alias("stack")))
+    cut = F.array(F.struct(F.lit("CauseChainTruncated").alias("name"), F.lit(f"cause chain exceeded {CAUSES}").alias("message"), F.lit(None).cast("string").alias("stack")))
+    return F.when(F.size(chain) > CAUSES, F.concat(kept, cut)).otherwise(kept)
+
+
+def log_lines(records: DataFrame, service: str, least: str = "debug", environment: str = "development") -> DataFrame:
+    """stream, line: a JSON line for every record (level, message, timestamp, context, error) of at least the level ``least``.
+
+    The context is masked by its schema. A record that can't be written whole has its fixed fields written, and failing that a fixed line.
+    """
+    rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
+    rows = records.where(rank > LEVELS.index(least))
+    head = [F.col("level"), F.col("message"), F.lit(service).alias("service"), F.lit(environment).alias("environment"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")]
+    kind = records.schema["context"].dataType
+    masked = [mask_nested(f.name, F.col(f"context.{f.name}"), f.dataType).alias(f.name) for f in kind.fields]
+    whole = F.to_json(F.struct(*head, *masked, causes(F.col("error")).alias("error")))
+    last = F.concat(F.lit('{"level":"'), F.col("level"), F.lit(f'","message":"LOG_EMIT_FAILED","service":"{service}"}}'))
+    return rows.select(F.when(F.col("level").isin("warn", "error"), "error").otherwise("log").alias("stream"), F.coalesce(whole, F.to_json(F.struct(*head)), last).alias("line"))

@@ -55,39 +55,53 @@ def invalid_ids(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.where(F.col(key).isNull() | (F.col(key).cast("string") == ""))
 
 
-def _peeled(edges: DataFrame, rounds: int) -> DataFrame:
-    """Edges that are left when those from a node without entry, or to one without exit, are dropped again and again."""
-    left = edges.count()
-    for _ in range(rounds):
-        for _ in range(2):
-            edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-            edges = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        edges = materialize(edges.select("a", "b"), "peel")
-        now = edges.count()
-        if now in (0, left):
-            return edges
-        left = now
-    raise RuntimeError("the graph still peels")
+def _peeled(edges: DataFrame) -> DataFrame:
+    """``edges`` without those from a node without entry, or to one without exit, dropped twice over."""
+    for _ in range(2):
+        edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        edges = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+    return materialize(edges.select("a", "b"), "peel")
 
 
-def nodes_on_cycles(edges: DataFrame, edge_type: str | None = "SUPERSEDES", rounds: int = 1000) -> DataFrame:
-    """id: every node on a directed cycle of active edges of ``edge_type``; a loop is a cycle.
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``edges`` with every chain of nodes that have one edge in and one out put into one edge; the chains' nodes as (id, a, b) with
+    the ends of that edge; and, as (id, part), the nodes of rings that consist of such nodes alone, with the ring's least one.
 
-    Edges that no cycle can use are peeled. In the rest, strongly connected components are found by
-    colouring: the greatest id that reaches a node is its colour, and what reaches that node within its colour is its
-    component. Found components are removed and the rest is coloured anew.
+    Ends are found by pointer jumping in both directions, so the rounds grow with the logarithm of the chains' length.
     """
-    own = edges.where(active())
-    if edge_type is not None:
-        own = own.where(F.col("edge_type") == edge_type)
-    rest = own.where(F.col("from_node").isNotNull() & F.col("to_node").isNotNull())
-    rest = materialize(rest.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct(), "edges")
-    loops = rest.where("a = b").select(F.col("a").alias("id"))
-    rest, found = rest.where("a != b"), []
+    out = edges.groupBy("a").agg(F.min("b").alias("next"), F.count("*").alias("n")).where("n = 1").select(F.col("a").alias("id"), "next")
+    come = edges.groupBy("b").agg(F.min("a").alias("last"), F.count("*").alias("n")).where("n = 1").select(F.col("b").alias("id"), "last")
+    inner = materialize(out.join(come, "id"), "inner")
+    number = inner.count()
+    if not number:
+        return edges, inner.selectExpr("id", "last AS a", "next AS b"), inner.selectExpr("id", "id AS part")
+    ids = inner.select("id")
+    # on, back: whether the pointer still stands at an inner node.
+    at = inner.join(ids.toDF("next").withColumn("on", F.lit(True)), "next", "left").join(ids.toDF("last").withColumn("back", F.lit(True)), "last", "left")
+    at = materialize(at.select("id", "next", "last", F.col("id").alias("low"), F.coalesce("on", F.lit(False)).alias("on"), F.coalesce("back", F.lit(False)).alias("back")), "jump")
+    for _ in range(number.bit_length() + 1):
+        if not at.where("on OR back").limit(1).count():
+            break
+        ahead, behind = at.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("on").alias("on2"), F.col("low").alias("low2")), at.select(F.col("id").alias("last"), F.col("last").alias("last2"), F.col("back").alias("back2"))
+        both = at.join(ahead, "next", "left").join(behind, "last", "left")
+        step = lambda flag, own, far: F.when(F.col(flag), F.col(far)).otherwise(F.col(own))
+        at = materialize(both.select("id", F.least("low", "low2").alias("low"), step("on", "next", "next2").alias("next"), step("back", "last", "last2").alias("last"), step("on", "on", "on2").alias("on"), step("back", "back", "back2").alias("back")), "jump")
+    rings = at.where("on").select("id", F.col("low").alias("part"))
+    chains = at.where("NOT on").select("id", F.col("last").alias("a"), F.col("next").alias("b"))
+    rest = edges.join(ids.toDF("a"), "a", "left_anti").join(ids.toDF("b"), "b", "left_anti").select("a", "b")
+    return materialize(rest.union(chains.select("a", "b")).distinct(), "contracted"), chains, rings
+
+
+def _components(rest: DataFrame, rounds: int) -> DataFrame:
+    """id, part: nodes in strongly connected components of two or more nodes, by colouring.
+
+    The greatest id that reaches a node is its colour, and what reaches that node within its colour is its component.
+    Found components are removed and the rest is coloured anew. Every loop that runs out of ``rounds`` raises.
+    """
+    found = []
     for _ in range(rounds):
-        rest = _peeled(rest, rounds)
         if not rest.limit(1).count():
-            return reduce(DataFrame.union, found, loops).distinct()
+            break
         colour = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("colour", F.col("id"))
         for _ in range(rounds):
             come = rest.join(colour, rest["a"] == colour["id"]).groupBy("b").agg(F.max("colour").alias("come"))
@@ -98,7 +112,7 @@ def nodes_on_cycles(edges: DataFrame, edge_type: str | None = "SUPERSEDES", roun
                 break
         else:
             raise RuntimeError(f"colours still move after {rounds} rounds")
-        inside = rest.join(colour.toDF("a", "ca"), "a").join(colour.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
+        inside = rest.join(colour.toDF("a", "ca"), "a").join(colour.toDF("b", "cb"), "b").where("ca = cb").select("a", "b", F.col("ca").alias("colour"))
         inside = materialize(inside, "inside")
         part, size = colour.where("id = colour").select("id"), 0
         for _ in range(rounds):
@@ -110,9 +124,48 @@ def nodes_on_cycles(edges: DataFrame, edge_type: str | None = "SUPERSEDES", roun
         else:
             raise RuntimeError(f"components still grow after {rounds} rounds")
         in_part = inside.join(part.toDF("a"), "a", "left_semi").join(part.toDF("b"), "b", "left_semi")
-        found.append(materialize(in_part.select(F.col("a").alias("id")).distinct(), "found"))
-        rest = rest.join(part.toDF("a"), "a", "left_anti").join(part.toDF("b"), "b", "left_anti")
-    raise RuntimeError("components are left")
+        found.append(materialize(in_part.select(F.col("a").alias("id"), F.col("colour").alias("part")).distinct(), "found"))
+        rest = materialize(_peeled(rest.join(part.toDF("a"), "a", "left_anti").join(part.toDF("b"), "b", "left_anti")), "rest")
+    else:
+        raise RuntimeError(f"components are left after {rounds} rounds")
+    return reduce(DataFrame.union, found) if found else rest.selectExpr("a AS id", "a AS part")
+
+
+def nodes_on_cycles(edges: DataFrame, edge_type: str | None = "SUPERSEDES", rounds: int = 1000) -> DataFrame:
+    """id: every node on a directed cycle of active edges of ``edge_type``; a loop is a cycle.
+
+    Chains, the usual shape, are put into single edges by pointer jumping, and edges that no cycle can use are peeled, in turn
+    until neither changes anything. What is left is searched for strongly connected components; then the
+    chains' nodes are unfolded, the last contraction first: such a node is on a cycle if both ends of its edge are in one component.
+    """
+    own = edges.where(active())
+    if edge_type is not None:
+        own = own.where(F.col("edge_type") == edge_type)
+    rest = own.where(F.col("from_node").isNotNull() & F.col("to_node").isNotNull())
+    rest = materialize(rest.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct(), "edges")
+    loops, folded = [rest.where("a = b").select(F.col("a").alias("id"))], []
+    rest = rest.where("a != b")
+    size = rest.count()
+    for _ in range(rounds):
+        rest, chains, rings = _contracted(_peeled(rest))
+        folded.append((chains, rings))
+        loops.append(rest.where("a = b").select(F.col("a").alias("id")))
+        rest = rest.where("a != b")
+        if (now := rest.count()) == size or not now:
+            break
+        size = now
+    else:
+        raise RuntimeError(f"the graph still peels after {rounds} rounds")
+    looped = reduce(DataFrame.union, loops).distinct().withColumn("own", F.lit(True))
+    parts = _components(rest, rounds)
+    # A node with a loop of its own is a component even where it is in no other.
+    parts = materialize(parts.join(looped, "id", "full").select("id", F.coalesce("part", "id").alias("part")), "parts")
+    for chains, rings in reversed(folded):
+        ends = chains.join(parts.toDF("a", "pa"), "a").join(parts.toDF("b", "pb"), "b").where("pa = pb").select("id", F.col("pa").alias("part"))
+        more = ends.union(rings)
+        parts = parts.join(more.select("id", F.col("part").alias("more")), "id", "full").select("id", F.coalesce("more", "part").alias("part"))
+        parts = materialize(parts, "parts")
+    return parts.select("id")
 
 
 def integrity(nodes: DataFrame, edges: DataFrame, order: str = "_pos") -> DataFrame:

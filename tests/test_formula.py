@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loam.plans import formula as fm
 
-GOLDEN = (Path(__file__).parent / "fixtures/golden_formulas.txt").read_text().splitlines()
+GOLDEN = (Path(fm.__file__).parent / "golden_formulas.txt").read_text().splitlines()
 
 
 def cases(spark, rows):

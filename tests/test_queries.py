@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from loam import catalogue
+from loam import catalogue, catalogue_more  # noqa: F401
 from tests.compare import same_rows
 
 
