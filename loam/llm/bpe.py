@@ -1,19 +1,18 @@
 """Byte-level BPE: every distinct pre-token of the corpus is encoded once, decoding looks tokens up.
 
-Texts are dealt into blocks of bounded size. Each block lists its distinct pre-tokens; these go by
-word to the task that encodes the word, once for the whole corpus, and its ids return to the blocks
-that hold it. A block then replaces its pre-tokens, in the order of their positions, by those ids. What
-moves is one compressed copy of the texts and, twice, the distinct words of each block. No vocabulary
-of the corpus is held in one place; only the rank file, which is fixed, is broadcast.
+Texts are split into pre-tokens with their positions, block by block (``blocks``). A block's distinct pre-tokens go by
+word to the task that encodes the word, once for the whole corpus, and their ids return to the block, which joins
+them to the positions and so puts each text's ids in order. Texts are neither moved nor split again: what moves is
+the positions and, twice, the distinct words of each block. Words are told apart by their bytes everywhere. No vocabulary
+of the corpus is held in one place; only the rank file, which is fixed, is broadcast. Decoding joins ids with the
+token-byte table of that file on the map side.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Hasher
-from .blocks import blocks, few, pack, unpack
+from .arrays import distinct
+from .blocks import BLOCK_BYTES, blocks, flat_lists, pack, positions_of, take_runs, unpack
 from .common import partitions
 from .pretokens import pretokens
 
-#: A task holds one block's texts, distinct words, ids and decoded bytes at a time.
-BLOCK_BYTES = 10 << 20
+#: Words whose ids a task keeps at hand; beyond it a word that comes again is encoded again.
+KEPT_WORDS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,81 +77,54 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
     back = spark.sparkContext.broadcast(TokenBytes(shared.value)) if decoded else None
     parts = partitions(spark)
-    packed = blocks(docs, block_bytes).repartition(parts, "block")
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, dict[int, bytes]] = {}
-        for batch in batches:
-            for block, bundle in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
-                seen = words.setdefault(block, {})
-                for texts in few(unpack(bundle.as_py())[0]):
-                    flat, starts, ends, _ = pretokens(texts, pattern)
-                    keys, place = np.unique(Hasher(flat)(starts, ends), return_index=True)
-                    raw = flat.tobytes()
-                    for key, a, b in zip(keys.tolist(), starts[place].tolist(), ends[place].tolist(), strict=True):
-                        if key not in seen:
-                            seen[key] = raw[a:b]
-        while words:
-            block, seen = words.popitem()
-            dealt: list[list[bytes]] = [[] for _ in range(parts)]
-            for word in sorted(seen.values()):
-                dealt[zlib.crc32(word) % parts].append(word)
-            full = [i for i, x in enumerate(dealt) if x]
-            bundles = pa.array([pack(dealt[i]) for i in full], pa.binary())
-            yield pa.record_batch([pa.array(full, pa.int32()), pa.array(np.full(len(full), block, np.int32)), bundles], names=["bucket", "block", "packed"])
+    def split(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        flat, starts, ends, counts = pretokens(texts, pattern)
+        numbers, words = distinct(flat, starts, ends)
+        return numbers, words.to_pylist(), counts
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = shared.value, {}
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("owner")))
             out = []
             for bundle in batch.column("packed").to_pylist():
-                words, _ = unpack(bundle)
-                if len(seen) > 2_000_000:
+                words, (numbers,) = unpack(bundle)
+                if len(seen) > KEPT_WORDS:
                     seen.clear()
                 for word in words:
                     if word not in seen:
                         seen[word] = encode_word(word, ranks)
-                ids = [seen[word] for word in words]
-                out.append(pack(words, list(map(len, ids)), list(chain.from_iterable(ids))))
-            yield pa.record_batch([batch.column("block"), pa.array(out, pa.binary())], names=["block", "packed"])
-
-    def replace(texts: pa.Table, words: pa.Table) -> pa.Table:
-        keys, lengths, chunks = [], [], []
-        for bundle in words["packed"]:
-            found, (counts, ids) = unpack(bundle.as_py())
-            ends = np.cumsum([len(w) for w in found])
-            keys.append(Hasher(np.frombuffer(b"".join(found), np.uint8))(np.r_[0, ends[:-1]], ends))
-            lengths.append(counts)
-            chunks.append(ids.astype(np.int32))
-        key, sizes, flat = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (lengths, np.int64), (chunks, np.int32)))
-        order = np.argsort(key)
-        first, sizes, key = (np.cumsum(sizes) - sizes)[order], sizes[order], key[order]
-        out, totals, names, known = [], [], [], []
-        for bundle in texts["packed"]:
-            found, (ids, valid) = unpack(bundle.as_py())
-            names.append(ids)
-            known.append(valid)
-            for some in few(found):
-                joined, starts, ends, counts = pretokens(some, pattern)
-                places = np.searchsorted(key, Hasher(joined)(starts, ends))
-                size = sizes[places]
-                done = np.cumsum(size)
-                out.append(flat[np.repeat(first[places] - (done - size), size) + np.arange(int(size.sum()))])
-                stops = np.r_[0, done][np.r_[0, np.cumsum(counts)]]
-                totals.append(np.diff(stops))
-        counts = np.concatenate(totals) if totals else np.zeros(0, np.int64)
-        every = np.concatenate(out) if out else flat[:0]
-        del out
-        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(every, pa.int32()))
-        keys = pa.array(np.concatenate(names), pa.int64(), mask=np.concatenate(known) == 0) if names else pa.array([], pa.int64())
-        columns = {"doc_id": keys, "ids": ids}
+                out.append(pack([], numbers, *flat_lists([seen[word] for word in words])))
+            yield pa.record_batch([batch.column("owner"), pa.array(out, pa.binary())], names=["block", "packed"])
+
+    def place(positions: pa.Table, words: pa.Table) -> pa.Table:
+        own = positions.filter(pc.is_null(positions["owner"]))["packed"]
+        if not len(own):  # a bucket's words, which are on their way
+            return nothing
+        ids, known, counts, numbers = positions_of(own[0].as_py())
+        pieces = [unpack(p.as_py())[1] for p in words["packed"]]
+        size = np.zeros(sum(len(n) for n, *_ in pieces), np.int64)
+        first, flat, start = np.zeros_like(size), np.zeros(sum(len(x) for *_, x in pieces), np.int32), 0
+        for own, sizes, tokens in pieces:
+            size[own], first[own] = sizes, start + np.cumsum(sizes) - sizes
+            flat[start : start + len(tokens)] = tokens
+            start += len(tokens)
+        if len(numbers) and numbers.max() >= len(size):
+            raise RuntimeError("a block's words are not those of its positions: its rows differed between two runs of a task")
+        every = take_runs(flat, first[numbers], size[numbers])
+        stops = np.r_[0, np.cumsum(size[numbers])][np.r_[0, np.cumsum(counts)]]
+        columns = {"doc_id": pa.array(ids, pa.int64(), mask=known == 0), "ids": pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(every, pa.int32()))}
         if back:
-            columns["decoded"] = pa.array(back.value(every, counts), pa.binary())
+            columns["decoded"] = pa.array(back.value(every, np.diff(stops)), pa.binary())
         return pa.table(columns)
 
-    words = packed.mapInArrow(distinct, "bucket int, block int, packed binary").repartition(parts, "bucket")
-    words = words.mapInArrow(once, "block int, packed binary").repartition(parts, "block")
-    return packed.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(replace, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+    kinds = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]
+    nothing = pa.schema(kinds[: 2 + decoded]).empty_table()
+    # Positions stay in this exchange; its other rows, the words, are read from it once more to be encoded.
+    dealt = blocks(docs, split, block_bytes).repartition(parts, "block")
+    words = dealt.mapInArrow(once, "block long, packed binary").repartition(parts, "block")
+    return dealt.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(place, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 class TokenBytes:
@@ -173,9 +145,8 @@ class TokenBytes:
         for a in range(0, len(counts), 64):  # some texts at a time: the index takes eight times their size
             b = min(a + 64, len(counts))
             own = ids[edges[a] : edges[b]]
-            size = self.size[own]
-            ends = np.cumsum(size)
-            text = flat[np.repeat(first[own] - (ends - size), size) + np.arange(int(size.sum()))].tobytes()
+            ends = np.cumsum(self.size[own])
+            text = take_runs(flat, first[own], self.size[own]).tobytes()
             stops = np.r_[0, ends][edges[a : b + 1] - edges[a]].tolist()
             out += [text[x:y] for x, y in zip(stops[:-1], stops[1:], strict=True)]
         return out

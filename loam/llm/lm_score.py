@@ -1,15 +1,15 @@
 """LM scoring: a log-bilinear neural model trained by noise-contrastive estimation, over word tokens.
 
-The model's vocabulary is the corpus's most frequent tokens, one class for all others, and the end. The score of a
-token w after the tokens c1 (last) and c2 (before) is (r[c1] C1 + r[c2] C2) . q[w] + b[w]. Its parts
-are two square tables, products of the parameter matrices, and the normaliser of every context comes from
-batched sums over them, so each token's log-probability is normalised exactly. A token of the other class
-takes the class's probability times its smoothed share within it.
-
-What is learnt comes from all training documents: token counts are summed over the corpus, and the
-counts of token triples, kept where they were counted, are what noise-contrastive estimation fits. In each
-round every task trains from the same parameters on its own triples; their mean, weighted by tokens, is
-the next round's start.
+The model predicts a token w after the tokens c1 (last) and c2 (before) from h = r[c1] C1 + r[c2] C2. The vocabulary's
+words, sorted by frequency, are cut into classes of about equal mass, and P(w) = P(class of w) P(w in its class), both
+softmax over dot products with h. So every token's log-probability is normalised exactly by two batched matrix products of some
+hundred columns, however many words there are. A token outside the vocabulary takes the probability of the
+``other`` word times its smoothed share among such tokens.
+
+What is learnt comes from all training documents. Texts are dealt into blocks by hash; the counts of all tokens are summed over the
+corpus and joined back to the blocks by token. In each round every block is trained from the same parameters, with
+each of its tokens drawn once and noise sampled for it; the blocks' mean, weighted by tokens, is the next round's start.
+Blocks depend on the rows alone, so the scores don't depend on how files or partitions are cut.
 """
 
 from __future__ import annotations
@@ -22,297 +22,281 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Hasher, mix, spans
-from .blocks import BLOCK_BYTES, blocks, pack, unpack
-from .common import materialize, partitions, remainder
+from .arrays import LOWER, distinct, spans
+from .blocks import blocks, pack, positions_of, unpack
+from .common import materialize, remainder
 
-#: The key of the end of a text among the words' 64-bit hashes.
-END = mix(np.array([0x656E64], np.uint64))[0]
-VOCABULARY, SIZE, NOISE, BATCH, ROUNDS, SEED = 512, 16, 24, 2048, 2, 5
+#: The vocabulary is the tokens that occur LEAST_COUNT times, at most VOCABULARY of them, since the model is broadcast.
+VOCABULARY, LEAST_COUNT = 32_768, 2
+CLASSES, SIZE, ROUNDS, RATE, SEED = 256, 24, 1, 0.1, 5
+#: Tokens of a training step, noise classes drawn for a step, and noise words drawn for a token.
+BATCH, NOISE_CLASSES, NOISE_WORDS = 4096, 32, 2
+BLOCK_BYTES = 6 << 20
+#: Parameters in a row of those that are summed over the blocks.
+CHUNK = 1 << 14
+#: Stands for the end of a text; no word has a space.
+END = b" "
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every token of the texts, each with its end, and the texts' numbers of tokens."""
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Numbers of the tokens, A-Z lowered, each text's last one the end; the tokens by number; the texts' numbers of tokens."""
     flat = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
     offsets = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
     starts, ends, counts = spans(flat, offsets)
-    out = np.full(len(starts) + len(texts), END, np.uint64)
-    out[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), counts)] = Hasher(flat)(starts, ends)
-    return out, counts + 1
-
-
-def _bundles(packed: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Token hashes, numbers of tokens, ids and whether these are known, for a few texts at a time."""
-    for bundle in packed.to_pylist():
-        texts, (ids, known) = unpack(bundle)
-        start = held = 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > limit:
-                yield *tokens(texts[start:i]), ids[start:i], known[start:i]
-                start, held = i, 0
-            held += len(text)
-        if start < len(texts):
-            yield *tokens(texts[start:]), ids[start:], known[start:]
-
-
-def _held_out(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return np.array([bool(k) and zlib.crc32(b"%d" % i) % 7 == 2 for i, k in zip(ids.tolist(), known.tolist(), strict=True)], bool)
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    numbers, words = distinct(flat, starts, ends)
+    out = np.full(len(starts) + len(texts), len(words), np.int64)
+    out[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), counts)] = numbers
+    return out, [*words.to_pylist(), END], counts + 1
 
 
-def corpus_counts(packed: DataFrame) -> DataFrame:
-    """block, packed(hashes, counts): for each block its distinct tokens and their counts in training texts."""
-    parts = partitions(packed.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for batch in batches:
-            for block, value in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
-                for hashes, sizes, ids, known in _bundles(pa.array([value.as_py()], pa.binary())):
-                    train = np.repeat(~_held_out(ids, known), sizes).astype(np.int64)
-                    pile = found.setdefault(block, [])
-                    pile.append(_summed(hashes, train))
-                    if len(pile) > 8:
-                        found[block] = [_summed(*(np.concatenate(x) for x in zip(*pile, strict=True)))]
-        for block, pile in found.items():
-            hashes, counts = _summed(*(np.concatenate(x) for x in zip(*pile, strict=True)))
-            bucket = (hashes % np.uint64(parts)).astype(np.int64)
-            full = np.unique(bucket)
-            dealt = [pack([], hashes[bucket == b].view(np.int64), counts[bucket == b]) for b in full]
-            yield pa.record_batch([pa.array(full, pa.int32()), pa.array(np.full(len(full), block, np.int32)), pa.array(dealt, pa.binary())], names=["bucket", "block", "packed"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b, *unpack(p)[1]) for batch in batches for b, p in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True)]
-        if not rows:
-            return
-        keys, sums = _summed(np.concatenate([r[1] for r in rows]).view(np.uint64), np.concatenate([r[2] for r in rows]))
-        for block, hashes, _ in rows:
-            out = pack([], hashes, sums[np.searchsorted(keys, hashes.view(np.uint64))])
-            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([out], pa.binary())], names=["block", "packed"])
-        # The bucket's own totals, once, for the corpus's sums and its most frequent tokens.
-        used = sums > 0
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([pack([], keys[used].view(np.int64), sums[used])], pa.binary())], names=["block", "packed"])
-
-    dealt = packed.repartition(parts, "block").mapInArrow(count, "bucket int, block int, packed binary")
-    return dealt.repartition(parts, "bucket").mapInArrow(total, "block int, packed binary")
+def held_out(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.array([bool(k) and zlib.crc32(b"%d" % i) % 7 == 2 for i, k in zip(ids.tolist(), known.tolist(), strict=True)], bool)
 
 
 class Vocabulary:
-    """The most frequent tokens and what is known of the others. Class 0 is the end, class 1 the others."""
+    """Shares of the words by number, frequent ones first, and the first word of every class, with the end."""
 
-    def __init__(self, counts: DataFrame, size: int):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for value in batch.column("packed").to_pylist():
-                    hashes, n = unpack(value)[1]
-                    yield pa.record_batch([pa.array(hashes), pa.array(n)], names=["token", "n"])
-
-        listed = counts.where("block = -1").select("packed").mapInArrow(rows, "token long, n long")
-        self.total, self.distinct = listed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        end = int(END.view(np.int64))
-        top = listed.where(F.col("token") != end).orderBy(F.desc("n"), "token").limit(size - 2).collect()
-        ends = listed.where(F.col("token") == end).first()
-        self.hashes = np.array([r.token for r in top], np.int64).view(np.uint64)
-        order = np.argsort(self.hashes)
-        self.hashes = self.hashes[order]
-        frequent = np.array([r.n for r in top], np.int64)[order]
-        self.end_count = ends.n if ends else 0
-        self.other_total = int(self.total - self.end_count - frequent.sum())
-        self.other_distinct = int(self.distinct - len(top) - (ends is not None))
-        self.size = len(top) + 2
-        share = np.r_[self.end_count, self.other_total, frequent] + 1.0
+    def __init__(self, counts: np.ndarray, other: int, other_total: int, other_distinct: int, classes: int = CLASSES):
+        self.other, self.other_total, self.other_distinct = other, other_total, other_distinct
+        share = counts + 1.0
         self.share = share / share.sum()
+        middle = np.cumsum(self.share) - self.share / 2
+        place = np.minimum((middle * classes).astype(np.int64), classes - 1)
+        self.edges = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(share)]
+        self.of = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        self.class_share = np.add.reduceat(self.share, self.edges[:-1])
+        self.inside = self.share / self.class_share[self.of]
 
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, hashes)
-        found = np.ones(len(hashes), np.int64)
-        inside = at < len(self.hashes)
-        same = np.zeros(len(hashes), bool)
-        same[inside] = self.hashes[at[inside]] == hashes[inside]
-        found[same] = at[same] + 2
-        found[hashes == END] = 0
-        return found
 
+def learn_words(totals: DataFrame, size: int) -> tuple[Vocabulary, DataFrame, int, int]:
+    """The vocabulary from ``totals`` (word, n), a table (word, v) of its words, the tokens' total and the number of different ones.
 
-def contexts(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every token the class before it and the one before that; the end stands before a text's first."""
+    Words above a count are taken: the least count, a step of a sixteenth of a power of two, that leaves at most ``size``.
+    """
+    spark = totals.sparkSession
+    total, distinct_words = totals.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words = totals.where((F.col("n") >= LEAST_COUNT) & (F.col("word") != F.lit(END)))
+    steps = words.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()  # a row a step
+    least, room = None, size - 2
+    for r in steps:
+        if r.words > room:
+            break
+        least, room = r.n, room - r.words
+    chosen = [] if least is None else words.where(F.col("n") >= least).collect()  # ``size`` rows at most
+    ends = totals.where(F.col("word") == F.lit(END)).first()
+    end = ends.n if ends else 0
+    rest = int(total - end - sum(r.n for r in chosen))
+    rest_distinct = int(distinct_words - len(chosen) - (end > 0))
+    listed = sorted([(bytes(r.word), r.n) for r in chosen] + [(END, end), (b"", rest)], key=lambda x: (-x[1], x[0]))
+    numbers = {word: v for v, (word, _) in enumerate(listed)}
+    vocabulary = Vocabulary(np.array([n for _, n in listed], float), numbers.pop(b""), rest, rest_distinct)
+    return vocabulary, spark.createDataFrame(list(numbers.items()), "word binary, v int"), total, distinct_words
+
+
+def contexts(words: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every token the word before it and the one before that; the end stands before a text's first."""
     start = np.cumsum(sizes) - sizes
-    one, two = np.r_[0, classes[:-1]], np.r_[0, 0, classes[:-2]] if len(classes) > 1 else np.zeros(len(classes), np.int64)
-    one[start] = 0
-    two[start] = 0
+    one, two = np.full(len(words), end, words.dtype), np.full(len(words), end, words.dtype)
+    one[1:], two[2:] = words[:-1], words[:-2]
     second = start[sizes > 1] + 1
-    two[second] = 0
+    one[start], two[start], two[second] = end, end, end
     return one, two
 
 
-def triples(packed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """packed(keys, counts): counts of (c2, c1, w) in training texts, as each task met them."""
-    shared = packed.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, pile = shared.value, []
-        n = known_words.size
-        for batch in batches:
-            for hashes, sizes, ids, known in _bundles(batch.column("packed")):
-                classes = known_words.classes(hashes)
-                one, two = contexts(classes, sizes)
-                keys = ((two * n + one) * n + classes)[np.repeat(~_held_out(ids, known), sizes)]
-                pile.append(np.unique(keys, return_counts=True))
-                if len(pile) > 8:
-                    pile = [_summed(*(np.concatenate(x) for x in zip(*pile, strict=True)))]
-        if pile:
-            yield pa.record_batch([pa.array([pack([], *_summed(*(np.concatenate(x) for x in zip(*pile, strict=True))))], pa.binary())], names=["packed"])
-
-    return packed.select("packed").mapInArrow(run, "packed binary")
-
-
 class Parameters:
-    """r, q (size, d), C1, C2 (d, d) and b (size), over one flat array."""
-
-    def __init__(self, size: int, flat: np.ndarray | None = None, share: np.ndarray | None = None):
-        self.size = size
-        length = 2 * size * SIZE + 2 * SIZE * SIZE + size
-        draw = np.random.default_rng(SEED)
-        self.flat = flat if flat is not None else draw.normal(0, 0.1, length)
-        cuts = np.cumsum([size * SIZE, size * SIZE, SIZE * SIZE, SIZE * SIZE])
-        r, q, c1, c2, self.b = np.split(self.flat, cuts)
-        self.r, self.q, self.c1, self.c2 = r.reshape(-1, SIZE), q.reshape(-1, SIZE), c1.reshape(SIZE, SIZE), c2.reshape(SIZE, SIZE)
-        if flat is None:
-            self.c1 += np.eye(SIZE)
-            self.c2 += np.eye(SIZE) / 2
-            self.b[:] = np.log(share)
-
-    def fit(self, keys: np.ndarray, counts: np.ndarray, share: np.ndarray, rate: float, seed: int) -> None:
-        """Noise-contrastive estimation by Adagrad, with one draw for every two distinct triples.
-
-        Triples are drawn in proportion to their counts. The noise is the unigram distribution, NOISE samples
-        for a token; the vocabulary being small, their expectation is summed instead of sampled.
+    """r, q (words, d), u (classes, d), c1, c2 (d, d), b (words) and a (classes), over one flat float32 array."""
+
+    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
+        n, k = len(vocabulary.share), len(vocabulary.class_share)
+        shapes = [(n, SIZE), (n, SIZE), (k, SIZE), (SIZE, SIZE), (SIZE, SIZE), (n,), (k,)]
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes])
+        if fresh := flat is None:
+            flat = np.random.default_rng(SEED).normal(0, 0.1, cuts[-1]).astype(np.float32)
+        self.flat, self.vocabulary = flat, vocabulary
+        self.r, self.q, self.u, self.c1, self.c2, self.b, self.a = (x.reshape(s) for x, s in zip(np.split(flat, cuts[:-1]), shapes, strict=True))
+        if fresh:
+            self.q[:] = self.u[:] = 0
+            self.c1 += np.eye(SIZE, dtype=np.float32)
+            self.c2 += np.eye(SIZE, dtype=np.float32) / 2
+            self.a[:], self.b[:] = np.log(vocabulary.class_share), np.log(vocabulary.inside)
+
+    def _add(self, table: np.ndarray, power: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+        """Adagrad on the given rows; the gradients of a row that comes again are summed."""
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])
+        at, total = rows[order][first], np.add.reduceat(gradient[order], first, axis=0)
+        power[at] += total**2
+        table[at] += rate * total / np.sqrt(power[at])
+
+    def fit(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, rate: float, seed: int) -> None:
+        """Noise-contrastive estimation by Adagrad; every token is drawn once.
+
+        The noise of a class is drawn from the classes' shares, for all tokens of a step; that of a word from its class.
         """
-        draw, n = np.random.default_rng(seed), self.size
-        own = Parameters(n, self.flat.astype(np.float32))
-        power = np.full(len(self.flat), 1e-4, np.float32)
-        gradient = Parameters(n, np.zeros(len(self.flat), np.float32))
-        noise = (NOISE * share).astype(np.float32)
-        log_noise, ends = np.log(noise), np.cumsum(counts)
-        for _ in range(0, len(keys) // 2 + 1, BATCH):
-            key = keys[np.searchsorted(ends, draw.integers(0, ends[-1], BATCH), "right")]
-            word, one, two = key % n, key // n % n, key // (n * n)
-            left, right = own.r[one], own.r[two]
-            guess = left @ own.c1 + right @ own.c2
-            odds = guess @ own.q.T + (own.b - log_noise)
-            pull = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            up = 1 - pull[np.arange(len(key)), word]  # the ascent on the true tokens
-            pull *= -noise  # and on the noise
-            pull[np.arange(len(key)), word] += up
-            pull /= len(key)
-            back = pull @ own.q
-            gradient.q[:] = pull.T @ guess
-            gradient.b[:] = pull.sum(0)
-            gradient.c1[:], gradient.c2[:] = left.T @ back, right.T @ back
-            gradient.r[:] = 0
-            np.add.at(gradient.r, one, back @ own.c1.T)
-            np.add.at(gradient.r, two, back @ own.c2.T)
-            power += gradient.flat**2
-            own.flat += rate * gradient.flat / np.sqrt(power)
-        self.flat[:] = own.flat
-
-
-def train(spark: SparkSession, counted: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Parameters:
-    parameters = Parameters(vocabulary.size, share=vocabulary.share)
+        v, draw = self.vocabulary, np.random.default_rng(seed)
+        power = Parameters(v, np.full(len(self.flat), 1e-2, np.float32))
+        log_class = np.log(NOISE_CLASSES * v.class_share).astype(np.float32)
+        log_inside = np.log(NOISE_WORDS * v.inside).astype(np.float32)
+        edge = np.r_[0, np.cumsum(v.share)]
+        edge /= edge[-1]
+        order = draw.permutation(len(word))
+        for at in range(0, len(order), BATCH):
+            rows = order[at : at + BATCH]
+            o, t, w = one[rows], two[rows], word[rows]
+            k = v.of[w]
+            left, right = self.r[o], self.r[t]
+            h = left @ self.c1 + right @ self.c2
+            noise = draw.choice(len(v.class_share), NOISE_CLASSES, p=v.class_share)
+            up = 1 / (1 + np.exp((h * self.u[k]).sum(1) + self.a[k] - log_class[k]))
+            down = -1 / (1 + np.exp(-(h @ self.u[noise].T + self.a[noise] - log_class[noise])))
+            back = up[:, None] * self.u[k] + down @ self.u[noise]
+            # Words in a class of their own have nothing to learn there.
+            many = np.flatnonzero((v.edges[k + 1] - v.edges[k]) > 1)
+            hm, wm, km = h[many], w[many], k[many]
+            low, high = edge[v.edges[km]], edge[v.edges[km + 1]]
+            other = np.searchsorted(edge, low[:, None] + (high - low)[:, None] * draw.random((len(many), NOISE_WORDS)), "right") - 1
+            other = np.clip(other, v.edges[km][:, None], v.edges[km + 1][:, None] - 1)
+            up_word = 1 / (1 + np.exp((hm * self.q[wm]).sum(1) + self.b[wm] - log_inside[wm]))
+            qo = self.q[other]
+            down_word = -1 / (1 + np.exp(-(np.einsum("nd,nmd->nm", hm, qo) + self.b[other] - log_inside[other])))
+            back[many] += up_word[:, None] * self.q[wm] + np.einsum("nm,nmd->nd", down_word, qo)
+            if len(many):
+                rows = np.r_[wm, other.ravel()]
+                self._add(self.q, power.q, rows, np.concatenate([up_word[:, None] * hm, (down_word[:, :, None] * hm[:, None, :]).reshape(-1, SIZE)]), rate)
+                self._add(self.b, power.b, rows, np.r_[up_word, down_word.ravel()], rate)
+            self._add(self.u, power.u, np.r_[k, noise], np.concatenate([up[:, None] * h, down.T @ h]), rate)
+            self._add(self.a, power.a, np.r_[k, noise], np.r_[up, down.sum(0)], rate)
+            self._add(self.r, power.r, np.r_[o, t], np.concatenate([back @ self.c1.T, back @ self.c2.T]), rate)
+            for table, own, gradient in ((self.c1, power.c1, left.T @ back), (self.c2, power.c2, right.T @ back)):
+                own += gradient**2
+                table += rate / 10 * gradient / np.sqrt(own)
+
+    def log_probabilities(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, room: int = 1 << 20) -> np.ndarray:
+        """log P(word) after the words ``one`` (last) and ``two``, in batches of matrix products with about ``room`` entries."""
+
+        def normalised(h: np.ndarray, table: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+            out, size = np.empty(len(h), np.float32), max(room // max(len(bias), 1), 1)
+            for i in range(0, len(h), size):
+                odds = h[i : i + size] @ table.T + bias
+                top = odds.max(1)
+                true = odds[np.arange(len(odds)), own[i : i + size]]
+                odds -= top[:, None]
+                out[i : i + size] = true - top - np.log(np.exp(odds, out=odds).sum(1))
+            return out
+
+        v, log = self.vocabulary, np.empty(len(word))
+        kind = v.of[word]
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(len(v.class_share) + 1))
+        for i in range(0, len(word), 1 << 16):
+            some = slice(i, i + (1 << 16))
+            log[some] = normalised(self.r[one[some]] @ self.c1 + self.r[two[some]] @ self.c2, self.u, self.a, kind[some])
+        for c in np.flatnonzero(np.diff(v.edges) > 1):
+            rows, low, high = order[cuts[c] : cuts[c + 1]], v.edges[c], v.edges[c + 1]
+            if len(rows):
+                h = self.r[one[rows]] @ self.c1 + self.r[two[rows]] @ self.c2
+                log[rows] += normalised(h, self.q[low:high], self.b[low:high], word[rows] - low)
+        return log
+
+
+def train(spark: SparkSession, coded: DataFrame, vocabulary: Vocabulary, end: int, rounds: int = ROUNDS) -> Parameters:
+    """Parameters after ``rounds`` of training on the training texts of ``coded`` (block, packed)."""
+    parameters = Parameters(vocabulary)
     for step in range(rounds):
-        shared = spark.sparkContext.broadcast((parameters.flat, vocabulary.share))
-        rate = 0.3 / (1 + step)
+        shared = spark.sparkContext.broadcast(parameters)
+        rate = RATE / (1 + step)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, step=step) -> Iterator[pa.RecordBatch]:
-            flat, share = shared.value
+            start, total, weight = shared.value, None, 0
             for batch in batches:
-                for value in batch.column("packed").to_pylist():
-                    keys, counts = unpack(value)[1]
-                    if not len(keys):
-                        continue
-                    own = Parameters(len(share), flat.copy())
-                    own.fit(keys, counts, share, rate, zlib.crc32(keys.tobytes()) + step)
-                    weight = float(counts.sum())
-                    place = np.arange(len(flat) + 1, dtype=np.int32)
-                    yield pa.record_batch([pa.array(place), pa.array(np.r_[own.flat * weight, weight])], names=["place", "x"])
-
-        # A row for each parameter, and one for the weight.
-        sums = counted.mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).toArrow()
-        if not sums.num_rows:
+                for block, value in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                    ids, known, sizes, words, *_ = unpack(value)[1]
+                    words = words.astype(np.int32)
+                    one, two = contexts(words, sizes, end)
+                    mine = np.flatnonzero(np.repeat(~held_out(ids, known), sizes))
+                    if len(mine):
+                        own = Parameters(start.vocabulary, start.flat.copy())
+                        own.fit(one[mine], two[mine], words[mine], rate, block % (1 << 40) + step)
+                        total = np.zeros(len(own.flat)) if total is None else total
+                        total += own.flat * float(len(mine))
+                        weight += len(mine)
+            if total is not None:  # one sum for all blocks of the task
+                for i in range(0, len(total), CHUNK):
+                    yield pa.record_batch([pa.array([i // CHUNK], pa.int32()), pa.array([weight], pa.int64()), pa.array([total[i : i + CHUNK].tobytes()], pa.binary())], names=["chunk", "weight", "sums"])
+
+        def add(key: tuple, rows: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_py(), "<f8") for x in rows["sums"]) / sum(rows["weight"].to_pylist())
+            return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "mean": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+        means = coded.mapInArrow(run, "chunk int, weight long, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, mean binary").collect()
+        if not means:
             return parameters
-        mean = np.zeros(len(parameters.flat) + 1)
-        mean[sums["place"].to_numpy()] = sums["x"].to_numpy()
-        parameters = Parameters(vocabulary.size, mean[:-1] / mean[-1])
+        flat = np.frombuffer(b"".join(bytes(r["mean"]) for r in sorted(means, key=lambda r: r.chunk)), "<f4").copy()
+        parameters = Parameters(vocabulary, flat)
     return parameters
 
 
-class Scorer:
-    """Normalised log10 probabilities: the two tables of a token after c1 and c2, and each context's normaliser."""
-
-    def __init__(self, p: Parameters, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.first, self.second = p.r @ p.c1 @ p.q.T + p.b, p.r @ p.c2 @ p.q.T
-        self.norm = np.empty((p.size, p.size))
-        for c2 in range(p.size):
-            both = self.first + self.second[c2]
-            top = both.max(1)
-            self.norm[:, c2] = top + np.log(np.exp(both - top[:, None]).sum(1))
-
-    def __call__(self, classes: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        one, two = contexts(classes, sizes)
-        log = (self.first[one, classes] + self.second[two, classes] - self.norm[one, two]) / np.log(10)
-        other = classes == 1
-        v = self.vocabulary
-        log[other] += np.log10((counts[other] + 1) / (v.other_total + v.other_distinct + 1))
-        return log
-
-
 def score(docs: DataFrame, vocabulary_size: int = VOCABULARY, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, other_tokens of every row of ``docs`` (doc_id, text).
 
     Learns from the rows that are not held out (crc32 of doc_id mod 7 is not 2; a null doc_id is not). Null texts
     are empty: their one token is the end. base_score sums the add-one unigram log10 probabilities, score the
-    model's. Repeated rows each count and get a result, an empty table gives an empty result, without
-    training rows every token is unknown; other columns are ignored. Ties in frequency go to the lesser hash.
+    model's; other_tokens counts those outside its vocabulary. Repeated rows each count and get a result, an empty table gives an empty result, without
+    training rows every token is unknown; other columns are ignored. Ties in frequency go to the lesser word.
     """
     spark = docs.sparkSession
-    packed = materialize(blocks(docs, block_bytes), "texts")
-    counts = materialize(corpus_counts(packed), "counts")
-    vocabulary = Vocabulary(counts, vocabulary_size)
-    counted = materialize(triples(packed, vocabulary), "triples")
-    scorer = spark.sparkContext.broadcast(Scorer(train(spark, counted, vocabulary, rounds), vocabulary))
-
-    def judge(texts: pa.Table, words: pa.Table) -> pa.Table:
-        model = scorer.value
-        n, v = model.vocabulary.total, model.vocabulary.distinct
-        pairs = [unpack(x)[1] for x in words["packed"].to_pylist()]
-        keys, sums = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-        order = np.argsort(keys.view(np.uint64))
-        keys, sums = keys.view(np.uint64)[order], sums[order]
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for hashes, sizes, ids, known in _bundles(texts["packed"].combine_chunks() if texts.num_rows else pa.array([], pa.binary())):
-            c = sums[np.searchsorted(keys, hashes)]
-            at = np.cumsum(sizes) - sizes
-            base = np.add.reduceat(np.log10((c + 1) / (n + v + 1)), at)
-            own = np.add.reduceat(model(model.vocabulary.classes(hashes), sizes, c), at)
-            for column, x in zip(columns, (ids, known, sizes, np.add.reduceat((c > 0).astype(np.int64), at), base, own), strict=True):
-                column.append(x)
-        ids, known, sizes, seen, base, own = (np.concatenate(x) if x else np.zeros(0) for x in columns)
-        return pa.table({
-            "doc_id": pa.array(ids.astype(np.int64), pa.int64(), mask=known == 0), "n_tokens": pa.array(sizes.astype(np.int64)),
-            "n_known": pa.array(seen.astype(np.int64)), "base_score": pa.array(base.astype(float)), "score": pa.array(own.astype(float)),
-        })
-
-    parts = partitions(spark)
-    left = packed.repartition(parts, "block").groupBy("block")
-    right = counts.where("block >= 0").repartition(parts, "block").groupBy("block")
-    scored = left.cogroup(right).applyInArrow(judge, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+    def trained(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return ~held_out(ids, known)
+
+    dealt = materialize(blocks(docs, tokens, block_bytes, counted=trained, by_hash=True), "blocks")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, value in zip(batch.column("owner").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                words, (numbers, n) = unpack(value)
+                yield pa.record_batch([pa.array([block] * len(words), pa.int64()), pa.array(numbers.astype(np.int32)), pa.array(words, pa.binary()), pa.array(n)], names=["block", "number", "word", "n"])
+
+    own = dealt.where("owner IS NOT NULL").mapInArrow(listed, "block long, number int, word binary, n long")
+    totals = materialize(own.groupBy("word").agg(F.sum("n").alias("n")), "totals")
+    vocabulary, numbers, total, kinds = learn_words(totals, vocabulary_size)
+    end = next(r.v for r in numbers.where(F.col("word") == F.lit(END)).collect())
+    # The vocabulary's rows are bounded by its size.
+    joined = own.select("block", "number", "word").join(totals.join(F.broadcast(numbers), "word", "left"), "word").select("block", "number", "n", "v")
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def code(positions: pa.Table, words: pa.Table) -> pa.Table:
+        known_words = shared.value
+        ids, known, sizes, numbers = positions_of(positions["packed"][0].as_py())
+        place = np.argsort(words["number"].to_numpy())  # every number of a block comes once
+        c = words["n"].to_numpy()[place]
+        v = words["v"].fill_null(known_words.other).to_numpy()[place].astype(np.int64)
+        log = np.log10((c + 1) / (total + kinds + 1))
+        outside = np.where(v == known_words.other, np.log10((c + 1) / (known_words.other_total + known_words.other_distinct + 1)), 0)
+        at = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x[numbers], at) for x in (log, outside, (c > 0).astype(np.int64), (v == known_words.other).astype(np.int64))]
+        packed = pack([x.astype("<f8").tobytes() for x in sums[:2]], ids, known, sizes, v[numbers], *sums[2:])
+        return pa.table({"block": positions["block"].slice(0, 1), "packed": pa.array([packed], pa.binary())})
+
+    positions = dealt.where("owner IS NULL").select("block", "packed")
+    coded = materialize(positions.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(code, "block long, packed binary"), "coded")
+
+    model = spark.sparkContext.broadcast(train(spark, coded, vocabulary, end, rounds))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column("packed").to_pylist():
+                (base, outside), (ids, known, sizes, words, seen, other) = unpack(value)
+                words = words.astype(np.int32)
+                one, two = contexts(words, sizes, end)
+                log = model.value.log_probabilities(one, two, words) / np.log(10)
+                own = np.add.reduceat(log, np.cumsum(sizes) - sizes) + np.frombuffer(outside, "<f8")
+                columns = {
+                    "doc_id": pa.array(ids, pa.int64(), mask=known == 0), "n_tokens": pa.array(sizes), "n_known": pa.array(seen),
+                    "base_score": pa.array(np.frombuffer(base, "<f8")), "score": pa.array(own), "other_tokens": pa.array(other),
+                }
+                yield pa.record_batch(list(columns.values()), names=list(columns))
+
+    scored = coded.mapInArrow(judge, "doc_id long, n_tokens long, n_known long, base_score double, score double, other_tokens long")
     held = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "other_tokens")

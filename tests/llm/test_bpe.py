@@ -35,6 +35,19 @@ def test_odd_rows(odd, library):
     assert bpe.digests(odd.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_structured_words(spark, library):
+    """Words that a polynomial hash confuses keep their own ids, and so does every block size."""
+    rows = []
+    for n in (512, 1024, 2048):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        rows.append((n, f"{one}\n{one.translate(str.maketrans('ab', 'ba'))}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (100, 1 << 20):
+        got = {r.doc_id: r for r in bpe.encode(docs, PATH, PATTERN, block_bytes=size, decoded=True).collect()}
+        for n, text in rows:
+            assert list(got[n].ids) == library.encode_ordinary(text) and got[n].decoded.decode() == text
+
+
 def test_one_long_word(spark, library):
     text = "ab" * 50_000
     row = bpe.digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, PATTERN).first()
