@@ -10,6 +10,8 @@ from loam.functions.ieee import relative_difference
 
 # The greatest relative differences to the nearest value that are a danger, and a warning.
 DANGER, WARN = 0.1, 0.3
+#: Steps of the grid that values are dealt out by, to each factor of e.
+SLICES = 1000
 
 
 def tag_confusion(rows: DataFrame, key: str = "id", value: str = "numeric_value", category: str = "category") -> DataFrame:
@@ -27,8 +29,17 @@ def tag_confusion(rows: DataFrame, key: str = "id", value: str = "numeric_value"
     second = parts.join(least, ["c", "v", "p"]).where("k > k1").groupBy("c", "v", "p").agg(F.min("k").alias("k2"))
     heads = least.join(second, ["c", "v", "p"], "left").select("c", "v", F.explode(F.array("k1", "k2")).alias("k")).where("k IS NOT NULL")
     values = heads.groupBy("c", "v").agg(twice.alias("keys"))  # 128 keys of a value at most
-    order = Window.partitionBy("c").orderBy("v")
-    near = values.withColumns({"lv": F.lag("v").over(order), "lk": F.lag(F.get("keys", 0)).over(order), "rv": F.lead("v").over(order), "rk": F.lead(F.get("keys", 0)).over(order)})
+    # Neighbours are found within slices of a category, a grid of SLICES steps to each factor of e, and between a
+    # slice's edges: a category's values are never sorted in one task, its slices, whose number is bounded, are.
+    step = F.floor(F.least(F.log(F.abs("v")), F.lit(999.0)) * SLICES) + 1000 * SLICES
+    values = values.withColumns({"slice": F.when(F.col("v") == 0, 0).otherwise(F.signum("v") * step).cast("long"), "head": F.get("keys", 0)})
+    order, across = Window.partitionBy("c", "slice").orderBy("v"), Window.partitionBy("c").orderBy("slice")
+    edge = lambda pick: pick(F.struct("v", "head"), "v")
+    edges = values.groupBy("c", "slice").agg(edge(F.min_by).alias("low"), edge(F.max_by).alias("high"))
+    edges = edges.select("c", "slice", F.lag("high").over(across).alias("before"), F.lead("low").over(across).alias("after"))
+    near = values.withColumns({"left": F.lag(F.struct("v", "head")).over(order), "right": F.lead(F.struct("v", "head")).over(order)}).join(edges, ["c", "slice"])
+    left, right = F.coalesce("left", "before"), F.coalesce("right", "after")
+    near = near.withColumns({"lv": left["v"], "lk": left["head"], "rv": right["v"], "rk": right["head"]})
 
     def option(other: str, k: str):
         return F.when(F.col(other).isNotNull(), F.struct(relative_difference(F.col("v"), F.col(other)).alias("diff"), F.col(k).alias("with")))
