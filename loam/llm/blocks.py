@@ -75,8 +75,8 @@ def blocks(docs: DataFrame, split: Split, block_bytes: int = BLOCK_BYTES, counte
     """block, owner, packed: the tokens of every row of ``docs`` (doc_id, text).
 
     Where owner is null, ``positions_of(packed)`` is what block (a negative number) holds. The other rows have the distinct tokens of the block
-    ``owner`` that belong to a bucket, whose number is in block: ``pack(tokens, numbers)``, and with ``counted`` also
-    how often each occurs in such texts. Null texts are empty. Blocks are cut from each partition as it comes, or, ``by_hash``,
+    ``owner`` that belong to a bucket, whose number is in block: ``pack(tokens, numbers)``. With ``counted`` there is one bucket,
+    and also how often each token occurs in such texts. Null texts are empty. Blocks are cut from each partition as it comes, or, ``by_hash``,
     dealt by the hash of doc_id and text and sorted, so that they depend on the rows alone.
     """
     parts = partitions(docs.sparkSession)
@@ -103,8 +103,11 @@ def blocks(docs: DataFrame, split: Split, block_bytes: int = BLOCK_BYTES, counte
         planes = every.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
         used = np.bincount(every[np.repeat(counted(named, known), sizes)], minlength=len(seen)) if counted else None
         dealt: dict[int, list[tuple[bytes, int]]] = {}
-        for token, number in sorted(zip(seen, rank.tolist(), strict=True)):
-            dealt.setdefault(zlib.crc32(token) % parts, []).append((token, number))
+        if counted:  # counts are summed by token, in rows
+            dealt[0] = list(zip(seen, rank.tolist(), strict=True))
+        else:
+            for token, number in sorted(zip(seen, rank.tolist(), strict=True)):
+                dealt.setdefault(zlib.crc32(token) % parts, []).append((token, number))
         bundles = [pack([planes], named, known, sizes)]
         for own in dealt.values():
             at = np.array([n for _, n in own], np.int64)

@@ -28,9 +28,9 @@ from .common import materialize, remainder
 
 #: The vocabulary is the tokens that occur LEAST_COUNT times, at most VOCABULARY of them, since the model is broadcast.
 VOCABULARY, LEAST_COUNT = 32_768, 2
-CLASSES, SIZE, ROUNDS, RATE, SEED = 256, 24, 1, 0.1, 5
-#: Tokens of a training step, noise classes drawn for a step, and noise words drawn for a token.
-BATCH, NOISE_CLASSES, NOISE_WORDS = 4096, 32, 2
+CLASSES, SIZE, ROUNDS, RATE, SEED = 256, 16, 1, 0.1, 5
+#: Tokens of a training step, noise classes drawn for a step, and noise words of its class drawn for a token.
+BATCH, NOISE_CLASSES, NOISE_WORDS = 8192, 32, 1
 BLOCK_BYTES = 6 << 20
 #: Parameters in a row of those that are summed over the blocks.
 CHUNK = 1 << 14

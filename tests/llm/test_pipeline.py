@@ -61,3 +61,17 @@ def test_run_is_its_stages(spark, sf):
 def test_registered():
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in entry.queries()} and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "PII", "byte-level BPE"]
+
+
+def test_stages_take_odd_rows(spark, sf, odd):
+    """Nulls, blanks, repeats and clashing names go through every stage; an empty table stays empty."""
+    import public_tokenizers  # noqa: F401
+
+    for rows in (odd, odd.limit(0)):
+        docs = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == odd.columns and out.count() <= docs.count()
+            docs = out if rows is odd else rows
+        done = corpus_pipeline.tokenised(spark, odd if rows is odd else rows, sf)
+        assert done.count() == rows.count() and {"doc_id", "n_tokens", "ids", "text"} == set(done.columns)
