@@ -90,9 +90,9 @@ def test_lm_probabilities():
 
 def test_lm_learns_word_order(spark):
     """Texts that walk round a ring of words: the model tells the next word, the base can't."""
-    rows = [(i, " ".join(f"w{(i + k) % 40}" for k in range(60))) for i in range(400)]
-    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3, block_bytes=4096).where("held_out").collect()
-    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+    rows = [(i, " ".join(f"w{(i + k) % 40}" for k in range(60))) for i in range(4000)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=4).where("held_out").collect()
+    assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
 
 
 def test_lm_does_not_depend_on_partitions(spark, docs):
