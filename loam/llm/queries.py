@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lang_id, lm_score, passages, pii, quality_model, quality_rules, substring_dedup, url_filter
+from . import bpe, decontam, lang_id, lm_score, merkle, passages, pii, quality_model, quality_rules, substring_dedup, url_filter
 from .common import table
 from .near_dup import near_duplicates
 
@@ -60,6 +60,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampering_report(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -72,10 +76,12 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_pii_sanitisation": op9_pii_sanitisation,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op6_benchmark_decontamination": decontam.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
