@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lang_id, lm_score, merkle, packing, passages, pii, quality_model, quality_rules, substring_dedup, url_filter
+from . import bpe, collocations, decontam, lang_id, lm_score, merkle, packing, passages, pii, quality_model, quality_rules, substring_dedup, url_filter
 from .common import table
 from .near_dup import near_duplicates
 
@@ -64,6 +64,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering_report(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
     return packing.packed(pieces)
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_pii_sanitisation": op9_pii_sanitisation,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -90,4 +95,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op6_benchmark_decontamination": decontam.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_phrase_collocations": collocations.ORACLE,
 }
