@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where none is set a local master gets one of its own; a cluster is refused."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return set_already.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loam-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loam-"))
+    return context.getCheckpointDir().get().rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
