@@ -131,18 +131,27 @@ def _components(rest: DataFrame, rounds: int) -> DataFrame:
     return reduce(DataFrame.union, found) if found else rest.selectExpr("a AS id", "a AS part")
 
 
+def typed_edges(edges: DataFrame, edge_type: str | None) -> DataFrame:
+    """a, b: the distinct active edges of ``edge_type`` (None: of any) that have both ends."""
+    own = edges.where(active())
+    if edge_type is not None:
+        own = own.where(F.col("edge_type") == edge_type)
+    rest = own.where(F.col("from_node").isNotNull() & F.col("to_node").isNotNull())
+    return rest.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct()
+
+
 def nodes_on_cycles(edges: DataFrame, edge_type: str | None = "SUPERSEDES", rounds: int = 1000) -> DataFrame:
-    """id: every node on a directed cycle of active edges of ``edge_type``; a loop is a cycle.
+    """id: every node on a directed cycle of active edges of ``edge_type``; a loop is a cycle."""
+    return cycle_components(materialize(typed_edges(edges, edge_type), "edges"), rounds).select("id")
+
+
+def cycle_components(rest: DataFrame, rounds: int = 1000) -> DataFrame:
+    """id, part: the nodes on directed cycles of the distinct edges ``rest`` (a, b), with a name for their component, one of its nodes.
 
     Chains, the usual shape, are put into single edges by pointer jumping, and edges that no cycle can use are peeled, in turn
     until neither changes anything. What is left is searched for strongly connected components; then the
     chains' nodes are unfolded, the last contraction first: such a node is on a cycle if both ends of its edge are in one component.
     """
-    own = edges.where(active())
-    if edge_type is not None:
-        own = own.where(F.col("edge_type") == edge_type)
-    rest = own.where(F.col("from_node").isNotNull() & F.col("to_node").isNotNull())
-    rest = materialize(rest.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct(), "edges")
     loops, folded = [rest.where("a = b").select(F.col("a").alias("id"))], []
     rest = rest.where("a != b")
     size = rest.count()
@@ -165,7 +174,7 @@ def nodes_on_cycles(edges: DataFrame, edge_type: str | None = "SUPERSEDES", roun
         more = ends.union(rings)
         parts = parts.join(more.select("id", F.col("part").alias("more")), "id", "full").select("id", F.coalesce("more", "part").alias("part"))
         parts = materialize(parts, "parts")
-    return parts.select("id")
+    return parts
 
 
 def integrity(nodes: DataFrame, edges: DataFrame, order: str = "_pos") -> DataFrame:

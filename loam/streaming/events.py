@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loam.functions.storage import shared_dir
+from loam.functions.storage import materialize, shared_dir
 from loam.operators.rules import EVENT_STATUSES
 
 
@@ -78,3 +78,13 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     query = (writer.foreachBatch(write) if mode == "complete" else writer.format("parquet").option("path", f"{path}/rows")).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def arriving(rows: DataFrame, group: Column, groups: int) -> DataFrame:
+    """``rows`` as a stream that delivers them in ``groups`` batches, by ``group`` from 0 on; each is written once, in that order."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/loam-arriving-{uuid.uuid4().hex}"
+    kept = materialize(rows.withColumn("_group", group.cast("int")), "arriving")
+    for k in range(groups):
+        kept.where(F.col("_group") == k).drop("_group").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
