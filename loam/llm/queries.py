@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, decontam, lang_id, lm_score, merkle, packing, passages, pii, quality_model, quality_rules, substring_dedup, url_filter
+from . import bpe, collocations, decontam, lang_id, lm_score, merkle, packing, pii, quality_model, quality_rules, substring_dedup, url_filter
 from .common import table
 from .near_dup import near_duplicates
 
@@ -19,10 +19,6 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -76,7 +72,6 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
-    "op2_passage_dedup": op2_passage_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_lm_scoring": op5_lm_scoring,

@@ -1,40 +1,65 @@
-"""Substring dedup by sentences: of each run of text units that repeats, the earliest occurrence stays.
-
-Units are sentences within lines: a unit ends where ``.``, ``!`` or ``?`` stands before white space, and at the end of a
-line. Normalised (A-Z lowered, words joined by one space) and hashed with BLAKE2b to 128 bits, the digests of
-all documents are grouped; every occurrence but the first, by (document, text, place), is a repeat. Runs of
-adjacent repeats go if they have ``RUN_WORDS`` words together, so stock phrases and lone sentences stay. Offsets are
-those of the original text.
+"""Substring dedup by short units of words: of each run of units that repeats, the earliest occurrence stays.
+
+A unit is a run of words that ends with a word on ``.``, ``!`` or ``?``, or with a word whose own hash says so (one in
+sixteen), or with the text. So units are sentences, and parts of them where they are long or where there are no stops, and whether a unit ends is told by its
+last word alone: a passage has the same units wherever it stands and however its lines are broken. Normalised (A-Z
+lowered, words joined by one space) and hashed with BLAKE2b to 128 bits, the digests of all documents are grouped; every
+occurrence but the first, by (document, text, place), is a repeat. Runs of adjacent repeats go if they have ``RUN_WORDS`` words
+together, so stock phrases and lone sentences stay. Offsets are those of the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import LOWER, buffer, distinct, spans
 from .common import materialize, slices
 
 #: Units of fewer words are passed over: they neither begin, count for, nor end a run, but those inside a run go with it.
 LEAST_WORDS = 3
 #: Words that the units of a run have together, at least.
 RUN_WORDS = 25
-#: White space before a unit belongs to it, so that it goes with the unit.
-UNIT = re.compile(r"[\x20\x09-\x0D]*+(?:(?:[^.!?\x20\x09-\x0D]|[.!?]++[^.!?\x20\x09-\x0D])(?:[^.!?\x0A]++|[.!?]++[^.!?\x20\x09-\x0D])*+[.!?]*+|[.!?]++)")
 
 
-def units(text: str, least_words: int) -> list[tuple[int, int, int, int, bytes]]:
-    """Number, start, stop, words and digest of every unit of ``text`` with enough words."""
-    found = []
-    for m in UNIT.finditer(text):
-        words = m.group().encode().lower().split()
-        if len(words) >= least_words:
-            found.append((len(found), m.start(), m.end(), len(words), hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
-    return found
+def ends_unit(word: bytes) -> bool:
+    """Whether a word, lower-cased, is the last of its unit: by a stop, or one of sixteen by its MD5."""
+    return word[-1:] in (b".", b"!", b"?") or hashlib.md5(word, usedforsecurity=False).digest()[0] < 16
+
+
+def units(column: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
+    """Of every unit with enough words in the texts: the text, its number there, start, stop (code points), words, and the digest's halves.
+
+    White space before a unit belongs to it, so that it goes with the unit.
+    """
+    flat, offsets = buffer(column)
+    low = LOWER[flat]
+    starts, ends, counts = spans(low, offsets)
+    numbers, found = distinct(low, starts, ends)
+    words = found.to_pylist()
+    text = np.repeat(np.arange(len(counts)), counts)
+    last = np.fromiter(map(ends_unit, words), bool, len(words))[numbers]
+    if len(text):
+        last |= np.r_[text[1:] != text[:-1], True]
+    stop = np.flatnonzero(last)
+    head = np.r_[0, stop[:-1] + 1][: len(stop)]
+    char = np.r_[0, np.cumsum((flat & 0xC0) != 0x80)]
+    origin = char[offsets[:-1]]
+    own = text[head]
+    end = char[ends[stop]] - origin[own]
+    begin = np.r_[0, end[:-1]][: len(own)]
+    begin[np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])] = 0
+    kept = np.flatnonzero(stop - head + 1 >= least_words)
+    number = np.arange(len(kept)) - np.searchsorted(own[kept], own[kept])
+    every = numbers.tolist()
+    digests = b"".join(hashlib.blake2b(b" ".join([words[w] for w in every[a : b + 1]]), digest_size=16).digest() for a, b in zip(head[kept].tolist(), stop[kept].tolist(), strict=True))
+    halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return own[kept], number, begin[kept], end[kept], (stop - head + 1)[kept], halves[:, 0], halves[:, 1]
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -49,15 +74,13 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, run_words: int = RU
     units. Rows that repeat a doc_id and text are one document: their runs are removed from all or none.
     """
     names = ["doc_id", "text_key", "unit", "start", "stop", "words", "high", "low"]
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+    kinds = [*[pa.int32()] * 4, pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            rows = []
-            for d, k, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows += [(d, k, *u[:4], int.from_bytes(u[4][:8], "little", signed=True), int.from_bytes(u[4][8:], "little", signed=True)) for u in units(text or "", least_words)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        for batch in slices(batches, "text", 2 << 20):
+            text, *columns = units(batch.column("text"), least_words)
+            own = [batch.column(c).take(pa.array(text)) for c in ("doc_id", "text_key")]
+            yield pa.record_batch([*own, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     found = _slim(docs).mapInArrow(run, "doc_id long, text_key long, unit int, start int, stop int, words int, high long, low long")
     found = materialize(found, "units")
@@ -113,18 +136,19 @@ def report(docs: DataFrame, least_words: int = LEAST_WORDS, run_words: int = RUN
 
 
 ORACLE = r"""
-WITH l AS (
-  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*(?:(?:[^.!?\x20\x09-\x0D]|[.!?]+[^.!?\x20\x09-\x0D])(?:[^.!?\x0A]|[.!?]+[^.!?\x20\x09-\x0D])*[.!?]*|[.!?]+)') AS parts
-  FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS unit FROM l),
-n AS (
-  SELECT doc_id, unit, part, regexp_extract_all(part, '[^\x20\x09-\x0D]+') AS w,
-    coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+WITH l AS (SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS parts FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM l),
+w AS (
+  SELECT doc_id, k, length(part) AS n, translate(regexp_extract(part, '[^\x20\x09-\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word
   FROM p),
+e AS (SELECT *, (regexp_matches(word, '[.!?]$') OR md5(word)[1] = '0')::INT AS last FROM w),
+g AS (SELECT *, coalesce(sum(last) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM e),
+n AS (SELECT doc_id, unit, count(*) AS words, sum(n)::BIGINT AS size, string_agg(word, ' ' ORDER BY k) AS joined FROM g GROUP BY doc_id, unit),
+s AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY unit)::BIGINT AS stop FROM n),
 u AS (
-  SELECT doc_id, start, start + length(part) AS stop, len(w) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS unit,
-    row_number() OVER (PARTITION BY translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY doc_id, unit) AS rank
-  FROM n WHERE len(w) >= 3),
+  SELECT doc_id, stop - size AS start, stop, words, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS unit,
+    row_number() OVER (PARTITION BY joined ORDER BY doc_id, unit) AS rank
+  FROM s WHERE words >= 3),
 later AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM u WHERE rank > 1),
 gone AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM later GROUP BY doc_id, run HAVING sum(words) >= 25),
 edges AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS past FROM gone),
