@@ -5,15 +5,16 @@ groups of these (mail domain, network, issuer, area), their kinds, and personal
 digits outside those spans; one with digits stands for all of its length, so that keys and other secrets, each of
 which occurs once, are judged together. A term t reveals an entity e as far as it tells that e is there:
 PMI(t; e) / IC(e) = 1 - log p(e | t) / log p(e), where p(e | t) is the lower bound of a one-sided interval, since counts may be
-small. Frequencies are those of documents over the whole corpus, near copies counted as one. At 1 the term gives the entity away; terms
-above a threshold are generalised to a tag and those above a higher one removed, wherever they occur.
+small. Frequencies are those of documents over the whole corpus, copies and near copies counted as one: a text counts for nothing if
+it shares four fifths of all words with one of lesser key, which candidates by MinHash bands are checked for, word by word. At 1 the
+term gives the entity away; terms above a threshold are generalised to a tag and those above a higher one removed, wherever they occur.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -26,8 +27,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 RUN = r"[\p{L}\p{N}]+"
-#: MinHash values of a document's terms that near copies agree in.
-SIGNS = 3
+#: Candidates for near copies agree in all MinHash values of a band of their words; bands, and values of each.
+BANDS, SIGNS = 4, 6
+#: Percent of the words of two texts together that near copies share.
+SHARED = 80
 #: Steps whose arrays grow together; longer folds go in runs of so many.
 FOLD = 512
 #: Quantile of the one-sided interval of p(e | t).
@@ -156,28 +159,62 @@ def _any() -> Column:
     return reduce(Column.__or__, [F.size(k) > 0 for k in NAMES])
 
 
+def _bands(words: Column) -> Column:
+    """A key for each band of MinHash values of the words; none where there are no words."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+
+    def of(h: Column) -> Column:
+        value = lambda k: F.array_min(F.transform(h, lambda x: F.xxhash64(F.lit(k), x)))
+        return F.array(*[F.xxhash64(*[value(b * SIGNS + k) for k in range(SIGNS)]) for b in range(BANDS)])
+
+    # Bound to a name, so that words are hashed once.
+    return F.when(F.size(words) > 0, F.transform(F.array(hashes), of)[0]).otherwise(F.array().cast("array<bigint>"))
+
+
 def analysed(docs: DataFrame) -> DataFrame:
-    """doc_key, the base spans, words, and the key of the near-copy group of every text that is not null, in the shared folder."""
+    """number, doc_key, the base spans, words, and the bands of every text that is not null, in the shared folder."""
     rows = docs.where(F.col("text").isNotNull()).select(F.md5("text").alias("doc_key"), F.col("text").cast("string").alias("text"))
     rows = base_spans(rows)
     masked = replaced(F.col("text"), F.concat(*[_marks(k, F.lit(" ")) for k in NAMES]))
     rows = rows.withColumn("words", words_of(F.when(_any(), masked).otherwise(F.col("text")))).drop("text")
-    signs = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(F.lit(k), w))) for k in range(SIGNS)]
-    return materialize(rows.withColumn("copies", F.xxhash64(*signs)), "analysed")
+    return materialize(rows.withColumn("bands", _bands(F.col("words"))).withColumn("number", F.monotonically_increasing_id()), "analysed")
+
+
+def near_copies(found: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_key, head: texts that share SHARED percent of their words with the text ``head``, of lesser key; see ``analysed``.
+
+    A text is held against the least key of each of its bands, so a text with none below it stays, and no two are put together unseen.
+    """
+    keyed = found.select("doc_key", F.posexplode("bands").alias("band", "key"))
+    heads = keyed.groupBy("band", "key").agg(F.min("doc_key").alias("head"), F.max("doc_key").alias("last")).where("head < last").drop("last")
+    pairs = materialize(keyed.join(heads, ["band", "key"]).where("doc_key > head").select("doc_key", "head").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("doc_key", "head")).alias("doc_key")).distinct()
+    words = found.select("doc_key", "words").join(_fit(ends, broadcast_bytes, F.octet_length("doc_key")), "doc_key").dropDuplicates(["doc_key"])
+    words = materialize(words.select("doc_key", F.transform("words", lambda w: F.xxhash64(w)).alias("held")), "copy-words")
+    both = pairs.join(words, "doc_key").join(words.select(F.col("doc_key").alias("head"), F.col("held").alias("other")), "head")
+    shared = F.size(F.array_intersect("held", "other"))
+    return both.where(shared * 100 >= SHARED * (F.size("held") + F.size("other") - shared)).select("doc_key", "head")
+
+
+def counted_once(found: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """number: the rows of ``found`` whose texts count, one of each text that is no near copy of one with a lesser key."""
+    first = found.groupBy("doc_key").agg(F.min("number").alias("number"))
+    return first.join(near_copies(found, broadcast_bytes).select("doc_key").distinct(), "doc_key", "left_anti").select("number")
 
 
-def revealing_terms(found: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+def revealing_terms(found: DataFrame, support: int, generalise: float, remove: float, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """term, disclosure, removed: terms whose disclosure of some entity is at least ``generalise``. See ``analysed``.
 
-    Near copies, which agree in SIGNS MinHash values of their terms, count as one document: the one of least key. Pairs
-    and entities in fewer than ``support`` such documents are left alone.
+    Copies and near copies count as one document, the one of least key. Pairs and entities in fewer than ``support`` such documents are left alone.
     """
     kinds = F.filter(F.array(*[F.when(F.size(k) > 0, F.lit(k)) for k in NAMES], F.when(_any(), F.lit("any"))), lambda x: x.isNotNull())
     known = F.array_distinct(F.concat(*map(entities, NAMES)))
-    slim = found.select("copies", "doc_key", "words", kinds.alias("kinds"), known.alias("known"))
-    one = slim.groupBy("copies").agg(F.min_by(F.struct("doc_key", "words", "kinds", "known"), "doc_key").alias("d")).select("d.*")
-    one = materialize(one.withColumn("words", F.array_distinct(F.transform("words", term_of))), "documents")
-    total = F.lit(float(max(one.count(), 2)))
+    slim = found.select("number", "doc_key", F.array_distinct(F.transform("words", term_of)).alias("words"), kinds.alias("kinds"), known.alias("known"))
+    # Rows that don't count are few as a rule: they are told to every task while they are, so that words stay where they lie.
+    kept = materialize(counted_once(found, broadcast_bytes), "counted")
+    gone = found.select("number").join(kept, "number", "left_anti")
+    one = slim.join(_fit(materialize(gone, "not-counted"), broadcast_bytes), "number", "left_anti").drop("number")
+    total = F.lit(float(max(kept.count(), 2)))
     counts = one.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("term_count"))
     private = one.where(F.size("kinds") > 0)
     each = private.select("doc_key", F.explode("known").alias("entity"))
@@ -202,24 +239,27 @@ def _fit(df: DataFrame, broadcast_bytes: int, *texts: Column) -> DataFrame:
 def spans_of(docs: DataFrame, support: int, generalise: float, remove: float, broadcast_bytes: int) -> DataFrame:
     """doc_key, the base spans and ``term`` of every different text of ``docs`` that has any."""
     found = analysed(docs)
-    terms = materialize(revealing_terms(found, support, generalise, remove), "terms").select("term", "removed")
+    terms = materialize(revealing_terms(found, support, generalise, remove, broadcast_bytes), "terms").select("term", "removed")
     own = found.select("doc_key", F.explode("words").alias("word")).withColumn("term", term_of(F.col("word")))
     own = own.join(_fit(terms, broadcast_bytes, F.octet_length("term")), "term")
-    held = materialize(own.groupBy("doc_key").agg(F.collect_set(F.struct("word", "removed")).alias("words")), "held")
-    bytes_held = F.aggregate("words", F.lit(0), lambda n, w: n + F.octet_length(w["word"]) + 16)
+    held = materialize(own.select("doc_key", "word", "removed").distinct(), "held")
+    with_terms = held.select("doc_key").distinct()
     texts = docs.where(F.col("text").isNotNull()).select(F.md5("text").alias("doc_key"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(_fit(held, broadcast_bytes, bytes_held), "doc_key")
-    names = F.transform("words", lambda w: w["word"])
-    gone = F.transform(F.filter("words", lambda w: w["removed"]), lambda w: w["word"])
-    hits = matches(F.col("text"), RUN, lambda v: F.array_contains(names, F.lower(v)))
-    hits = F.transform(hits, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"), F.array_contains(gone, F.lower(m["value"])).alias("removed")))
-    hits = texts.select("doc_key", hits.alias("term")).groupBy("doc_key").agg(F.first("term").alias("term"))
-    base = found.where(_any()).groupBy("doc_key").agg(*[F.first(k).alias(k) for k in NAMES])
-    both = base.join(hits, "doc_key", "full")
-    both = both.select("doc_key", *[F.coalesce(k, F.array().cast(SPANS)).alias(k) for k in NAMES], F.coalesce("term", F.array().cast(TERMS)).alias("term"))
-    every = F.concat(*[F.col(k) for k in NAMES])
-    apart = F.filter("term", lambda m: ~F.exists(every, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return materialize(both.withColumn("term", apart), "spans")
+    texts = texts.join(_fit(with_terms, broadcast_bytes, F.octet_length("doc_key")), "doc_key").dropDuplicates(["doc_key"])
+    # Words meet terms by a join, and base spans by one pass in order, so that a text with many of both takes no longer for each.
+    runs = texts.select("doc_key", F.explode(matches(F.col("text"), RUN)).alias("m")).select("doc_key", "m.*", F.lower("m.value").alias("word"))
+    hits = runs.join(held, ["doc_key", "word"]).select("doc_key", "start", "stop", "value", "removed")
+    base = materialize(found.where(_any()).groupBy("doc_key").agg(*[F.first(k).alias(k) for k in NAMES]), "base")
+    every = base.join(_fit(with_terms, broadcast_bytes, F.octet_length("doc_key")), "doc_key").select("doc_key", F.explode(F.concat(*NAMES)).alias("b"))
+    edges = hits.select("doc_key", F.col("stop").alias("at"), F.lit(0).alias("kind"), F.struct("start", "stop", "value", "removed").alias("m"), F.lit(None).cast("int").alias("reach"))
+    none = F.lit(None).cast(edges.schema["m"].dataType)
+    edges = edges.unionByName(every.select("doc_key", F.col("b.start").alias("at"), F.lit(1).alias("kind"), none.alias("m"), F.col("b.stop").alias("reach")))
+    # The furthest end of the base spans that begin before a term ends; the term is apart if it begins no earlier.
+    before = F.max("reach").over(Window.partitionBy("doc_key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    apart = edges.withColumn("before", before).where("kind = 0 AND coalesce(before <= m.start, true)")
+    terms_of = apart.groupBy("doc_key").agg(F.sort_array(F.collect_list("m")).alias("term"))
+    both = base.join(terms_of, "doc_key", "full")
+    return materialize(both.select("doc_key", *[F.coalesce(k, F.array().cast(SPANS)).alias(k) for k in NAMES], F.coalesce("term", F.array().cast(TERMS)).alias("term")), "spans")
 
 
 def find(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove: float = 0.9, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

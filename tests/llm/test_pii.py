@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loam.llm import pii
 from loam.llm.common import table
@@ -114,18 +115,51 @@ def disclosures(rows, support):
     return best
 
 
+def plain_words(text):
+    """The words of a text outside its base spans."""
+    keep = list(text)
+    for own in brute(text).values():
+        for a, b in own:
+            keep[a:b] = " " * (b - a)
+    return {w for w in re.findall(r"[^\W_]+", "".join(keep).lower()) if len(w) >= 3 and re.search(r"[^\W\d_]", w)}
+
+
+def alike(a, b):
+    return 100 * len(a & b) >= pii.SHARED * len(a | b)
+
+
 def test_disclosure_against_brute_force(spark, planted):
+    """Near copies are told by plain sets: what is put behind a text shares its words, and what stays has no close text of lesser key."""
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").limit(700).union(planted).where("length(text) < 20000")
+    docs = docs.union(docs.where("doc_id % 7 = 0"))
     found = pii.analysed(docs)
     texts = {hashlib.md5(r.text.encode()).hexdigest(): r.text for r in docs.where("text IS NOT NULL").collect()}
-    groups = defaultdict(set)
-    for r in found.select("copies", "doc_key").collect():
-        groups[r.copies].add(r.doc_key)
-    want = {t: d for t, d in disclosures([texts[min(g)] for g in groups.values()], 3).items() if d >= 0.6}
+    words = {k: plain_words(t) for k, t in texts.items()}
+    gone = {(r.doc_key, r.head) for r in pii.near_copies(found).collect()}
+    assert all(head < key and alike(words[key], words[head]) for key, head in gone)
+    kept = sorted(set(texts) - {key for key, _ in gone})
+    close = [(a, b) for i, a in enumerate(kept) for b in kept[:i] if words[a] and 100 * len(words[a] & words[b]) >= 95 * len(words[a] | words[b])]
+    assert len(close) <= 1 and len(gone) > 10
+    want = {t: d for t, d in disclosures([texts[k] for k in kept], 3).items() if d >= 0.6}
     got = {r.term: r.disclosure for r in pii.revealing_terms(found, 3, 0.6, 0.9).collect()}
     assert got == pytest.approx(want) and "quillfeather" in got
 
 
+def test_unrelated_texts_all_count(spark):
+    """Thousands of texts over few words, alike in nothing but that, and a group of near copies, which counts once."""
+    draw = random.Random(12)
+    own = ["".join(draw.choices("abcdefghij", k=4)) for _ in range(3000)]
+    rows = [(i, " ".join(draw.sample(own, 60))) for i in range(1500)]
+    copied = draw.sample(own, 200)
+    rows += [(5000 + i, " ".join([*copied[: i % 7], f"x{own[i]}", *copied[i % 7 + 1 :]])) for i in range(200)]
+    found = pii.analysed(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = {r.number for r in pii.counted_once(found).collect()}
+    keys = {r.doc_key for r in found.where(F.col("number").isin(kept)).collect()}
+    by_key = {hashlib.md5(t.encode()).hexdigest(): i for i, t in rows}
+    left = [by_key[k] for k in keys]
+    assert sum(i < 5000 for i in left) == 1500 and sum(i >= 5000 for i in left) <= 4
+
+
 def test_terms_on_the_tables(spark):
     """The method finds terms on the tables: the secrets beside the personal data, each of which occurs once."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
@@ -154,6 +188,22 @@ def test_very_long_text(spark):
     assert clean == {1: numbers, 2: " ".join(["[EMAIL]"] * 20_000)}
 
 
+def test_many_terms_in_a_text(spark):
+    """16,000 secrets and 2,000 addresses in one text, beside texts with one of each."""
+    draw = random.Random(8)
+
+    def secret():
+        return "".join(draw.choices("abcdef", k=39)) + "7"
+
+    rows = [(i, f"write to u{i}@example.org with {secret()} for it, said number {own}") for i, own in enumerate(["one", "two", "three"] * 100)]
+    rows += [(900 + i, " ".join("".join(draw.choices("klmnopqrst", k=5)) for _ in range(8))) for i in range(400)]
+    secrets = [secret() for _ in range(16_000)]
+    rows.append((5000, " ".join(f"{s} a{k}@b.org" if k % 8 == 0 else s for k, s in enumerate(secrets))))
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 3 OR doc_id = 5000").collect()}
+    assert [m.value for m in found[5000].term] == secrets and len(found[5000].email) == 2000
+    assert all(any(len(m.value) == 40 for m in found[i].term) for i in range(3))
+
+
 def test_odd_rows(odd):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
