@@ -1,11 +1,12 @@
 """Collocations by contiguous pattern growth: frequent phrases from projected occurrences, then the phrases that stick together.
 
-Every occurrence of a word is projected onto what stands to its right in its piece, up to the longest phrase. Equal
-projections of a block of texts are one row of its bundle, with their number. Bundles are dealt by prefix, the first two words (single words are
-counted beside them), so that one task holds all occurrences of each of its prefixes. It sorts them once; the occurrences of any
-prefix are then a run, and a prefix with enough of them grows to the right, depth first, over the parts of its run. A bucket of
-prefixes with too many projections for a task is dealt anew: first to more buckets, and where a single prefix is that large by one word more, which leaves that prefix's own
-count, now spread over tasks, as a bundle of its own. So all counts are whole before they are held against the support, and no task depends on how often one prefix occurs.
+Words are counted first, then pairs of the words that have the support, then longer phrases of pairs that have it. Every occurrence of
+a frequent prefix is projected onto what stands to its right in its piece, as far as each two neighbours are frequent. Equal projections of a block of texts
+are one row of its bundle, with their number. Bundles are dealt by prefix, the first two words, so that one task holds all occurrences of each
+of its prefixes. It sorts them once; the occurrences of any prefix are then a run, and a prefix with enough of them grows to the right, depth
+first, over the parts of its run. A bucket of prefixes with too many projections for a task is dealt anew: first to more buckets, and where a
+single prefix is that large by one word more, which leaves that prefix's own count, now spread over tasks, as a bundle of its own. So all counts are
+whole before they are held against the support, and no task depends on how often one prefix occurs.
 
 The phrases that remain are scored, thinned and ranked with joins.
 """
@@ -24,11 +25,14 @@ from pyspark.sql.window import Window
 from .arrays import LOWER, distinct, mix, spans
 from .blocks import pack, unpack
 from .common import LOWER as LOWER_LETTERS
-from .common import UPPER, materialize, partitions, slices, utf8
+from .common import UPPER, discard, materialize, partitions, slices, utf8
 
 LONGEST = 4
 #: Bytes of text a block has, and for which there is a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Binary logarithm of the bits, at most, in which the words or pairs with the support are marked for all tasks. Where that is too few,
+#: others are marked as well, which costs room and changes no count.
+MARK_BITS = 28
 #: Buckets of the first deal at most, and parts into which a bucket is dealt anew.
 BUCKETS, PARTS = 1024, 64
 #: Projections that a task takes at a time; a bucket with more is dealt anew.
@@ -42,6 +46,13 @@ APART[[0x20, 0x09]] = True
 BUNDLES = "least int, longest int, bucket long, n long, packed binary"
 
 
+def _bytes(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The words end to end, and their lengths."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    return data.to_pybytes()[offsets[0] : offsets[-1]] if data else b"", np.diff(offsets)
+
+
 class Runs:
     """Distinct projections in order: numbers of words (0: the piece ended) by column, how often each occurs, and the words, each with its language.
 
@@ -50,12 +61,19 @@ class Runs:
 
     def __init__(self, words: pa.Array, rows: np.ndarray, counts: np.ndarray):
         """``rows`` has a row for each projection; equal ones are summed. ``words`` are distinct, number 1 on."""
-        self.words = words
-        padded = np.c_[rows, np.zeros(len(rows), rows.dtype)] if rows.shape[1] % 2 else rows
-        keys = [(padded[:, k].astype(np.uint64) << np.uint64(32)) | padded[:, k + 1].astype(np.uint64) for k in range(0, padded.shape[1], 2)]
+        self.words, self.own = words, None
+        keys = []
+        for k in range(0, rows.shape[1], 2):
+            keys.append(rows[:, k].astype(np.uint64) << np.uint64(32))
+            if k + 1 < rows.shape[1]:
+                keys[-1] |= rows[:, k + 1].astype(np.uint64)
         order = np.lexsort(keys[::-1])
         new = np.ones(len(order), bool)
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        if len(order):
+            new[1:] = False
+        for key in keys:
+            key = key[order]
+            new[1:] |= key[1:] != key[:-1]
         at = np.flatnonzero(new)
         self.rows = rows[order[at]]
         self.counts = np.add.reduceat(counts[order], at) if len(at) else counts[:0]
@@ -64,41 +82,45 @@ class Runs:
         """The projections in bundles by ``keys``, each with the words it needs."""
         if not len(keys):
             return
-        order = np.argsort(keys, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-        place = np.zeros(len(self.words) + 1, np.int64)
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            rows = self.rows[order[a:b]]
-            used = np.unique(rows)
-            used = used[used > 0]
+        order = np.argsort(keys.astype(np.uint16) if keys.max() < 1 << 16 else keys, kind="stable")
+        keys, rows, counts = keys[order], self.rows[order], self.counts[order]
+        cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
+        place = np.zeros(len(self.words) + 1, np.int32)
+        for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            own = rows[a:b]
+            place[own] = 1
+            place[0] = 0
+            used = np.flatnonzero(place)
             place[used] = np.arange(1, len(used) + 1)
-            words = self.words.take(pa.array(used - 1)).to_pylist()
             # A number's bytes of one rank stand together: neighbours share the high ones.
-            planes = np.ascontiguousarray(place[rows].T.astype("<u4")).view(np.uint8).reshape(rows.shape[1], len(rows), 4).transpose(0, 2, 1).tobytes()
-            yield (least, rows.shape[1], int(keys[order[a]]), len(rows), pack([planes, *words], self.counts[order[a:b]]))
+            planes = np.ascontiguousarray(place[own].T).view(np.uint8).reshape(own.shape[1], b - a, 4).transpose(0, 2, 1).tobytes()
+            place[used] = 0
+            data, lengths = _bytes(self.words.take(pa.array(used - 1)))
+            yield (least, own.shape[1], int(keys[a]), b - a, pack([planes, data], counts[a:b], lengths))
 
     def hashes(self, words: int) -> np.ndarray:
         """A hash of the first words of each projection."""
-        own = np.r_[0, np.fromiter(map(xxhash.xxh3_64_intdigest, self.words.to_pylist()), np.uint64, len(self.words))].astype(np.uint64)
-        out = np.zeros(len(self.rows), np.uint64)
-        for k in range(words):
-            out = mix(out * np.uint64(3) + own[self.rows[:, k]])
-        return out
+        if self.own is None:
+            self.own = np.r_[np.zeros(1, np.uint64), _hashes(self.words.to_pylist())]
+        return _together([self.own[self.rows[:, k]] for k in range(words)])
 
 
 def _union(bundles: list[bytes], longest: int) -> Runs:
     """The projections of several bundles together."""
     words, parts, counts, base = [], [], [], 0
     for bundle in bundles:
-        (planes, *own), (n,) = unpack(bundle)
-        flat = np.frombuffer(planes, np.uint8).reshape(longest, 4, -1).transpose(0, 2, 1).copy().view("<u4").reshape(longest, -1).T.astype(np.int64)
-        parts.append(np.where(flat > 0, flat + base, 0))
+        (planes, data), (n, lengths) = unpack(bundle)
+        rows = np.frombuffer(planes, np.uint8).reshape(longest, 4, -1).transpose(0, 2, 1).copy().view("<i4").reshape(longest, -1).T
+        parts.append(np.where(rows > 0, rows + np.int32(base), np.int32(0)))
         counts.append(n)
-        words.append(pa.array(own, pa.large_binary()))
-        base += len(own)
+        offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+        words.append(pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+        base += len(lengths)
     coded = pa.concat_arrays(words).dictionary_encode()
-    number = np.r_[0, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1]
-    return Runs(coded.dictionary, number[np.concatenate(parts)].astype(np.int64), np.concatenate(counts))
+    number = np.r_[0, coded.indices.to_numpy(zero_copy_only=False) + 1].astype(np.int32)
+    rows = np.concatenate(parts)
+    del parts, words
+    return Runs(coded.dictionary, number[rows], np.concatenate(counts))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -107,52 +129,133 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["least", "longest", "bucket", "n", "packed"])
 
 
-def project(docs: DataFrame, longest: int, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The bundles of ``docs`` (lang, text): of single words, and of projections of two words or more by their first two."""
-
-    def block(langs: list[bytes], texts: list[bytes]) -> Runs:
-        own = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
-        flat = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
-        offsets = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
-        starts, ends, counts = spans(flat, offsets, APART)
-        numbers, words = distinct(flat, starts, ends)
-        code = numbers.astype(np.int64) * len(own) + np.repeat([own[x] for x in langs], counts)
-        used, numbers = np.unique(code, return_inverse=True)
-        named, every = list(own), words.to_pylist()
-        tokens = pa.array([every[c // len(own)] + b"\n" + named[c % len(own)] for c in used.tolist()], pa.large_binary())
-        piece = np.cumsum(BREAK[flat], dtype=np.int64)[starts] + np.repeat(np.arange(len(texts)) * (len(flat) + 1), counts)
-        rows = np.zeros((len(starts), longest), np.int64)
-        rows[:, 0] = numbers + 1
-        for k in range(1, min(longest, len(starts))):
-            joined = piece[k:] == piece[:-k]
-            rows[:-k, k][joined] = numbers[k:][joined] + 1
-        return Runs(tokens, rows, np.ones(len(rows), np.int64))
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """langs and texts of the rows, about ``block_bytes`` of text at a time."""
+    langs, texts, held = [], [], 0
+    for batch in slices(batches, "text", block_bytes):
+        own = utf8(batch.column("text"))
+        size = sum(map(len, own))
+        if held and held + size > block_bytes:
+            yield langs, texts
+            langs, texts, held = [], [], 0
+        langs, texts, held = langs + utf8(batch.column("lang")), texts + own, held + size
+    if texts:
+        yield langs, texts
+
+
+def _split(langs: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The number of every word, the words by number (see ``Runs``), and the number of the piece that each word is in."""
+    own = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
+    flat = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+    starts, ends, counts = spans(flat, offsets, APART)
+    numbers, words = distinct(flat, starts, ends)
+    code = numbers.astype(np.int64) * len(own) + np.repeat([own[x] for x in langs], counts)
+    used, numbers = np.unique(code, return_inverse=True)
+    named, every = list(own), words.to_pylist()
+    tokens = [every[c // len(own)] + b"\n" + named[c % len(own)] for c in used.tolist()]
+    piece = np.cumsum(BREAK[flat], dtype=np.int32)[starts].astype(np.int64) + np.repeat(np.arange(len(texts)) * (len(flat) + 1), counts)
+    return numbers, tokens, piece
+
+
+def _hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+
+
+def word_counts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """lang, word, f of every word of ``docs`` (lang, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, texts in _blocks(batches, block_bytes):
+            numbers, tokens, _ = _split(langs, texts)
+            counts = np.bincount(numbers, minlength=len(tokens))
+            for a in range(0, len(tokens), 50_000):
+                parts = [t.split(b"\n", 1) for t in tokens[a : a + 50_000]]
+                columns = [pa.array([x[k] for x in parts], pa.binary()).cast(pa.string()) for k in (1, 0)]
+                yield pa.record_batch([*columns, pa.array(counts[a : a + 50_000], pa.int64())], names=["lang", "word", "f"])
+
+    return docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+
+
+def _together(hashes: list[np.ndarray]) -> np.ndarray:
+    """A hash of each phrase from the hashes of its words, word by word."""
+    out = np.zeros(len(hashes[0]), np.uint64)
+    for own in hashes:
+        out = mix(out * np.uint64(3) + own)
+    return out
+
+
+class Marks:
+    """A bit for each hash of some number of bits, the first ones of the hash; set for some phrases."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - self.bits)
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def marked(phrases: DataFrame) -> Marks:
+    """The bits of ``phrases`` (lang, words, of one length), put together by tasks; at most 2**MARK_BITS, however many these are."""
+    bits = min(MARK_BITS, max(12, (16 * phrases.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = [[w.encode() + b"\n" + lang for w in words] for lang, words in zip(utf8(batch.column("lang")), batch.column("words").to_pylist(), strict=True)]
+                place = _together([_hashes(list(column)) for column in zip(*lists, strict=True)]) >> np.uint64(64 - bits)
+                slot, mask = (place >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
+                yield pa.record_batch([pa.array(slot), pa.array(mask)], names=["slot", "mask"])
+
+    found = phrases.select("lang", "words").mapInArrow(run, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["slot"].to_numpy()] = found["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    return Marks(bits, out)
+
+
+def project(docs: DataFrame, longest: int, buckets: int, words: Marks, pairs: Marks | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The bundles of ``docs`` (lang, text) by their first two words: pairs of marked words, or with ``pairs`` longer phrases of marked pairs."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    least = 3 if pairs else 2
 
     def bundle(langs: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
-        found = block(langs, texts)
-        single = Runs(found.words, found.rows[:, :1], found.counts)
-        out = list(single.bundles(1, (single.hashes(1) % np.uint64(buckets)).astype(np.int64)))
-        more = found.rows[:, 1] > 0
-        found.rows, found.counts = found.rows[more], found.counts[more]
-        return _batch(out + list(found.bundles(2, (found.hashes(2) % np.uint64(buckets)).astype(np.int64))))
+        words, pairs = shared.value
+        numbers, tokens, piece = _split(langs, texts)
+        hashes = _hashes(tokens)
+        kept = np.flatnonzero(words(_together([hashes])))
+        number = np.zeros(len(tokens), np.int32)
+        number[kept] = np.arange(1, len(kept) + 1)
+        # Whether a word and the next are a pair that may be part of a phrase.
+        joined = np.zeros(len(numbers), bool)
+        joined[:-1] = (piece[1:] == piece[:-1]) & (number[numbers[:-1]] > 0) & (number[numbers[1:]] > 0)
+        if pairs:
+            at = np.flatnonzero(joined)
+            joined[at] = pairs(_together([hashes[numbers[at]], hashes[numbers[at + 1]]]))
+        # Where a phrase of the least length begins; its words further on as far as they are joined.
+        begin = joined.copy()
+        for k in range(1, least - 1):
+            begin[:-k] &= joined[k:]
+            begin[-k:] = False
+        at = np.flatnonzero(begin)
+        rows = np.zeros((len(at), longest), np.int32)
+        on = np.ones(len(at), bool)
+        for k in range(longest):
+            rows[on, k] = number[numbers[at[on] + k]]
+            on[on] = joined[at[on] + k]
+        found = Runs(pa.array([tokens[k] for k in kept.tolist()], pa.large_binary()), rows, np.ones(len(rows), np.int64))
+        found.own = np.r_[np.zeros(1, np.uint64), hashes[kept]]
+        return _batch(list(found.bundles(least, (found.hashes(2) % np.uint64(buckets)).astype(np.int64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, texts, held = [], [], 0
-        for batch in slices(batches, "text", block_bytes):
-            own = utf8(batch.column("text"))
-            size = sum(map(len, own))
-            if held and held + size > block_bytes:
-                yield bundle(langs, texts)
-                langs, texts, held = [], [], 0
-            langs, texts, held = langs + utf8(batch.column("lang")), texts + own, held + size
-        if texts:
+        for langs, texts in _blocks(batches, block_bytes):
             yield bundle(langs, texts)
 
     return docs.mapInArrow(run, BUNDLES)
 
 
-def _deal_anew(bundles: DataFrame, words: int, divisor: int) -> DataFrame:
-    """Large buckets dealt into parts by a hash of ``words`` words; projections with another bound are cut into a count of that and the rest."""
+def _deal_anew(bundles: DataFrame, length: int, divisor: int) -> DataFrame:
+    """Large buckets dealt into parts by a hash of ``length`` words; projections with another bound are cut into a count of that and the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 4 << 20):
@@ -161,17 +264,14 @@ def _deal_anew(bundles: DataFrame, words: int, divisor: int) -> DataFrame:
                 kinds.setdefault((row["least"], row["longest"], row["bucket"]), []).append(row["packed"])
             out = []
             for (least, longest, bucket), packed in kinds.items():
-                found, wide = _union(packed, longest), min(words, longest)
+                found, wide = _union(packed, longest), min(length, longest)
                 parts = ((found.hashes(wide) // np.uint64(divisor)) % np.uint64(PARTS)).astype(np.int64) + bucket * PARTS
-                if wide == least:
-                    out += found.bundles(least, parts)
-                    continue
                 for k in range(least, wide):  # counts of prefixes that are dealt out now
                     short = Runs(found.words, found.rows[:, :k], found.counts)
                     out += short.bundles(k, ((short.hashes(k) // np.uint64(divisor)) % np.uint64(PARTS)).astype(np.int64) + bucket * PARTS)
                 longer = found.rows[:, wide - 1] > 0
                 found.rows, found.counts = found.rows[longer], found.counts[longer]
-                out += found.bundles(wide, parts[longer])
+                out += found.bundles(max(least, wide), parts[longer])
             yield _batch(out)
 
     return bundles.mapInArrow(run, BUNDLES)
@@ -200,44 +300,55 @@ def _grown(found: Runs, least: int, support: int) -> Iterator[tuple[int, int, in
 FOUND = "lang string, words array<string>, f long"
 
 
-def frequent(docs: DataFrame, support: int, longest: int = LONGEST, limit: int = LIMIT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """lang, words, f of every phrase of up to ``longest`` words that occurs ``support`` times in a lang; and for each lang a row without words, f all its words.
-
-    ``docs`` has lang and text; null texts are empty, a null lang is ``und``. Repeated rows count each; an empty table has no phrases.
-    """
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, min(BUCKETS, -(-total // bucket_bytes)))
+def _counted(pending: DataFrame, support: int, buckets: int, limit: int) -> DataFrame:
+    """lang, words, f of the phrases with the support in the bundles ``pending``, in the shared folder."""
 
     def grow(table: pa.Table) -> pa.Table:
         least, longest = table["least"][0].as_py(), table["longest"][0].as_py()
         found = _union(table["packed"].to_pylist(), longest)
-        words = found.words.to_pylist()
-        out = [(words[found.rows[at, 0] - 1].split(b"\n", 1)[1], [words[w - 1].split(b"\n", 1)[0] for w in found.rows[at, :size].tolist()], n) for at, size, n in _grown(found, least, support)]
-        if longest == 1:
-            langs = pa.array([w.split(b"\n", 1)[1] for w in words], pa.binary()).dictionary_encode()
-            sums = np.bincount(langs.indices.to_numpy()[found.rows[:, 0] - 1], found.counts, len(langs.dictionary)).astype(np.int64) if len(words) else []
-            out += [(lang, [], int(n)) for lang, n in zip(langs.dictionary.to_pylist(), sums, strict=True)]
-        columns = [pa.array([x[0].decode() for x in out], pa.string()), pa.array([[w.decode() for w in x[1]] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.int64())]
-        return pa.table(columns, names=["lang", "words", "f"])
-
-    pending, done, key = materialize(project(rows, longest, buckets), "phrases-projected"), [], ["least", "longest", "bucket"]
+        words = found.words
+        out = [([words[w - 1].as_py() for w in found.rows[at, :size].tolist()], n) for at, size, n in _grown(found, least, support)]
+        columns = [pa.array([x[0].split(b"\n", 1)[1].decode() for x, _ in out], pa.string()), pa.array([[w.split(b"\n", 1)[0].decode() for w in x] for x, _ in out], pa.list_(pa.string()))]
+        return pa.table([*columns, pa.array([n for _, n in out], pa.int64())], names=["lang", "words", "f"])
+
+    pending, done, key = materialize(pending, "phrases-projected"), [], ["least", "longest", "bucket"]
     # By two words once more, with other bits of their hash, and then by one word more each time.
-    for words, divisor in [(2, buckets), *((k, 1) for k in range(3, longest + 1)), (0, 1)]:
+    for length, divisor in [(2, buckets), *((k, 1) for k in range(3, LONGEST + 1)), (0, 1)]:
         sizes = materialize(pending.groupBy(*key).agg(F.sum("n").alias("all")), "phrases-sizes")
         large = sizes.where(F.col("all") > limit).drop("all")
-        more = 0 < words <= longest and not large.isEmpty()
+        more = length > 0 and not large.isEmpty()
         small = pending.join(sizes.where(F.col("all") <= limit).drop("all"), key, "left_semi") if more else pending
-        done.append(small.groupBy(*key).applyInArrow(grow, FOUND))
+        done.append(materialize(small.groupBy(*key).applyInArrow(grow, FOUND), "phrases-counted"))
+        dealt = materialize(_deal_anew(pending.join(large, key, "left_semi"), length, divisor), "phrases-dealt-anew") if more else None
+        discard(pending)
         if not more:
             break
-        pending = materialize(_deal_anew(pending.join(large, key, "left_semi"), words, divisor), "phrases-dealt-anew")
+        pending = dealt
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out
 
 
+def frequent(docs: DataFrame, support: int, longest: int = LONGEST, limit: int = LIMIT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """lang, words, f of every phrase of up to ``longest`` (2 to 4) words that occurs ``support`` times in a lang; and for each lang a row without words, f all its words.
+
+    ``docs`` has lang and text; null texts are empty, a null lang is ``und``. Repeated rows count each; an empty table has no phrases.
+    """
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, min(BUCKETS, -(-total // bucket_bytes)))
+    counts = materialize(word_counts(rows), "phrases-words")
+    single = counts.where(F.col("f") >= support).select("lang", F.array("word").alias("words"), "f")
+    totals = counts.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.array().cast("array<string>").alias("words"), "f")
+    words = marked(single)
+    pairs = _counted(project(rows, 2, buckets, words), support, buckets, limit)
+    out = single.unionByName(totals).unionByName(pairs)
+    if longest > 2:
+        out = out.unionByName(_counted(project(rows, longest, buckets, words, marked(pairs)), support, buckets, limit))
+    return out
+
+
 def _joined(words: Column | str) -> Column:
     return F.array_join(words, " ")
 
