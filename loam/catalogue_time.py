@@ -1,4 +1,4 @@
-"""Queries over time, outside ``loam.llm``: lookups at a row's own time, state of streams, synchronised tables, and cycle paths."""
+"""Queries over time, outside ``loam.llm``: lookups at a row's own time, state of streams, synchronised tables, and cycle paths; and vectors."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loam.catalogue import _STATUS_SQL, _statuses, query, table
 from loam.functions.storage import materialize, shared_dir
-from loam.operators import paths, temporal
+from loam.operators import paths, temporal, vectors
 from loam.streaming import events as streams
 from loam.streaming import state, sync
 
@@ -108,3 +108,14 @@ def graph_cycle_paths(spark, sf):
     k = F.col("p_partkey")
     edges = table(spark, sf, "part").select(k.alias("from_node"), ((k * k + 3) % 1009).alias("to_node"), F.lit("SUPERSEDES").alias("edge_type"), F.lit(None).cast("boolean").alias("is_active"))
     return paths.cycle_paths(edges).drop("part")
+
+
+# --- vectors --------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) + 1e-9, 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p WHERE similarity >= 0.1) WHERE rank <= 5""")
+def vector_nearest(spark, sf):
+    """The five vectors nearest to each whose id is divisible by 20, among all, through an inverted file."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows, rows.where("vec_id % 20 = 0"), 5, 0.1)
