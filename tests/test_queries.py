@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from loam import catalogue, catalogue_more, catalogue_time  # noqa: F401
+from loam import catalogue, catalogue_more, catalogue_pages, catalogue_time  # noqa: F401
 from tests.compare import same_rows
 
 
