@@ -118,3 +118,32 @@ def test_repeated_ids(spark):
         assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (2, other), (4, None), (4, "")], key=str)
     for kept in (near_dup.keep_one(rows.limit(0)), near_dup.keep_one_similar(rows.limit(0))):
         assert kept.columns == rows.columns and kept.count() == 0
+
+
+def test_large_chained_group(spark):
+    """600 copies of one text, each with a word or two of an earlier copy changed: far over the members that a band compares in pairs."""
+    draw = random.Random(12)
+    texts = [[f"w{draw.randrange(5000)}" for _ in range(120)]]
+    while len(texts) < 600:
+        own = list(draw.choice(texts))
+        for _ in range(draw.randint(1, 2)):
+            own[draw.randrange(len(own))] = f"w{draw.randrange(5000)}"
+        texts.append(own)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    least = list(range(len(sets)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if 10 * shared >= 8 * (len(a) + len(sets[j]) - shared):
+                x, y = sorted((root(i), root(j)))
+                least[y] = x
+    behind = [i for i in range(len(sets)) if root(i) != i]
+    got = {r.doc_id: r.component_id for r in near_dup.similar(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert len(behind) > 400 and all(root(got[i]) == root(i) for i in got)
+    assert sum(got[i] != i for i in behind) >= 0.99 * len(behind)
