@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, buffer, distinct, spans
-from .common import materialize, slices
+from .common import discard, materialize, slices
 
 #: Units of fewer words are passed over: they neither begin, count for, nor end a run, but those inside a run go with it.
 LEAST_WORDS = 3
 #: Words that the units of a run have together, at least.
 RUN_WORDS = 25
+#: Binary logarithm of the bits, at most, in which repeated digests are marked for all tasks.
+MARK_BITS = 28
 
 
 def ends_unit(word: bytes) -> bool:
@@ -67,6 +69,30 @@ def _slim(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text_key", F.xxhash64("text"))
 
 
+def _marked(found: DataFrame) -> DataFrame:
+    """The units whose digest is marked, which those of all repeated digests are, and few others while there are bits enough.
+
+    Digests alone are counted; those that repeat set a bit by their first bits, at most 2**MARK_BITS for all, however many they are. So units that stand
+    once, most as a rule, stay where they lie.
+    """
+    often = materialize(found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high"), "repeated-digests")
+    bits = min(MARK_BITS, max(12, (16 * often.count()).bit_length()))
+    place = F.shiftrightunsigned("high", 64 - bits)
+    slots = often.groupBy(F.shiftright(place, 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(high, {64 - bits}) & 63 AS INT))")).alias("mask")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.uint64)
+    marks[slots["slot"].to_numpy()] = slots["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    discard(often)
+    shared = found.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("high").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            held = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            yield batch.filter(pa.array(held))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """text_key, doc_id, start, stop: the runs to remove, one row each.
 
@@ -85,8 +111,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, run_words: int = RU
     found = _slim(docs).mapInArrow(run, "doc_id long, text_key long, unit int, start int, stop int, words int, high long, low long")
     found = materialize(found, "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "unit")
-    groups = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
-    later = found.withColumn("own", rank).join(groups, ["high", "low"]).where(F.col("own") > F.col("first"))
+    again = _marked(found)
+    groups = again.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
+    later = again.withColumn("own", rank).join(groups, ["high", "low"]).where(F.col("own") > F.col("first"))
     place = Window.partitionBy("text_key", "doc_id").orderBy("unit")
     later = later.select("text_key", "doc_id", "unit", "start", "stop", "words").withColumns({
         "run": F.col("unit") - F.dense_rank().over(place),
