@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 import random
 
@@ -59,3 +60,17 @@ def test_work_is_dealt_out(spark):
     facts = spark.range(20_000).select(F.col("id").cast("int"), F.lit("k").alias("key"), F.timestamp_seconds("id").alias("time"))
     edges = temporal._edges(facts.select("key", "time"), 1000).collect()[0].edges
     assert len(edges) == 19 and max(b - a for a, b in zip(edges, edges[1:], strict=False)) < 2_500 * 1_000_000
+
+
+def test_ranges_are_found_by_halving(spark):
+    """As bisection finds them, up to the greatest number of edges, also where edges repeat."""
+    for edges in ([], [5], [1, 3, 3, 3, 9], sorted(n * 7 % 2000 for n in range(999))):
+        rows = spark.range(-1, 2001).withColumn("edges", F.array(*map(F.lit, edges)).cast("array<bigint>"))
+        found = rows.select("id", temporal._before("edges", lambda e: e < F.col("id")).alias("below"), temporal._before("edges", lambda e: e <= F.col("id")).alias("upto"))
+        assert [(r.below, r.upto) for r in found.orderBy("id").collect()] == [(bisect.bisect_left(edges, i), bisect.bisect_right(edges, i)) for i in range(-1, 2001)]
+
+
+def test_no_ranges_without_large_keys(spark):
+    """Where no key is large the plan has neither quantiles nor a join."""
+    plan = rows_of(spark, [(1, "k", START)], [("k", START, 1, "x")])._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "Join" not in plan
