@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The ontology.
@@ -157,11 +157,15 @@ def batches(spark) -> DataFrame:
 def stage_results(outcomes: DataFrame, key: str = "batch_id") -> DataFrame:
     """key, pos, stage, status of every stage of every batch in ``outcomes`` (key, stage, ok): success, failed, or skipped.
 
-    A stage runs only after all before it succeeded; one without an outcome is skipped, and so is what comes behind it.
+    A stage runs only after all before it succeeded; one without an outcome is skipped, and so is what comes behind it. A batch is one
+    row of its stages' outcomes before it becomes rows, so nothing is joined.
     """
-    names = F.array(*map(F.lit, STAGES))
-    every = outcomes.select(key).distinct().select(key, F.posexplode(names).alias("pos", "stage"))
-    rows = every.join(outcomes.groupBy(key, "stage").agg(F.bool_and("ok").alias("ok")), [key, "stage"], "left")
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    through = F.coalesce(F.min(F.coalesce("ok", F.lit(False))).over(before), F.lit(True))
-    return rows.select(key, "pos", "stage", F.when(~through | F.col("ok").isNull(), "skipped").when(F.col("ok"), "success").otherwise("failed").alias("status"))
+    own = [F.when(F.col(key).isNotNull() & (F.col("stage") == stage), F.col("ok")) for stage in STAGES]
+    rows = outcomes.groupBy(key).agg(*[F.bool_and(ok).alias(f"_ok{n}") for n, ok in enumerate(own)])
+    found, through = [], F.lit(True)
+    for n, stage in enumerate(STAGES):
+        ok = F.col(f"_ok{n}")
+        status = F.when(~through | ok.isNull(), "skipped").when(ok, "success").otherwise("failed")
+        found.append(F.struct(F.lit(stage).alias("stage"), status.alias("status")))
+        through = through & F.coalesce(ok, F.lit(False))
+    return rows.select(key, F.posexplode(F.array(*found)).alias("pos", "_x")).select(key, "pos", "_x.stage", "_x.status")
