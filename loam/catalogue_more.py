@@ -117,8 +117,8 @@ def _replies(spark, sf):
     node = F.struct(number(line).alias("id"), F.lit("CONCEPT").alias("type"), F.lit("t").alias("title"), F.when(F.col("l_quantity") > 45, "").otherwise("c").alias("content"), F.when(F.col("l_tax") > 0.07, 11).otherwise(5).alias("truth_weight"))
     edge = F.struct(number(line).alias("source_id"), number(line + 1).alias("target_id"), F.lit("CROSS_REF").alias("edge_type"))
     both = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", node.alias("node"), edge.alias("edge"))
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", c))), lambda x: x[c])
-    grouped = both.groupBy(F.col("l_orderkey").alias("doc_id")).agg(listed("node").alias("nodes"), listed("edge").alias("edges"))
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "node", "edge"))).alias("lines")
+    grouped = both.groupBy(F.col("l_orderkey").alias("doc_id")).agg(lines).select("doc_id", F.col("lines.node").alias("nodes"), F.col("lines.edge").alias("edges"))
     reply = F.concat(F.lit("```json\n"), F.to_json(F.struct("nodes", "edges")), F.lit("\n```"))
     return grouped.select("doc_id", contract.parse_reply(reply).alias("contract"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,16 +37,24 @@ def type_of(node_id: Column) -> Column:
     return F.coalesce(*[F.when(node_id.rlike(p), F.lit(t)) for t, p in NODE_IDS.items()])
 
 
+def _once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the column, which is computed once however often it stands there."""
+    return F.get(F.transform(F.array(c), then), 0)
+
+
 def parse_reply(reply: Column) -> Column:
     """The JSON of a reply, from its fenced block if there is one, as a struct; arrays that are missing are empty.
 
     Null if the JSON is malformed or all four arrays are empty.
     """
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    parsed = F.from_json(F.when(fenced != "", fenced).otherwise(reply), SCHEMA, {"mode": "PERMISSIVE"})
-    full = F.struct(*[F.coalesce(parsed[p], F.array().cast(dict(_types())[p])).alias(p) for p in PARTS])
-    some = reduce(Column.__or__, [F.size(parsed[p]) > 0 for p in PARTS])
-    return F.when(some, full)
+    # Each step is bound once: as plain columns every part of the struct would parse the reply anew.
+    text = _once(reply, lambda r: _once(F.regexp_extract(r, r"(?s)```(?:json)?\s*(.*?)```", 1), lambda fenced: F.when(fenced != "", fenced).otherwise(r)))
+
+    def full(parsed: Column) -> Column:
+        some = reduce(Column.__or__, [F.size(parsed[p]) > 0 for p in PARTS])
+        return F.when(some, F.struct(*[F.coalesce(parsed[p], F.array().cast(dict(_types())[p])).alias(p) for p in PARTS]))
+
+    return _once(F.from_json(text, SCHEMA, {"mode": "PERMISSIVE"}), full)
 
 
 def _types() -> list[tuple[str, str]]:
@@ -66,9 +75,61 @@ def _rows(contracts: DataFrame, part: str, key: str) -> DataFrame:
     return contracts.select(key, F.posexplode(f"contract.{part}").alias("idx", "x")).select(key, "idx", "x.*")
 
 
-def _checked(rows: DataFrame, part: str, key: str, checks: list[Column]) -> DataFrame:
-    errors = rows.withColumn("e", F.explode(F.filter(F.array(*checks), lambda e: e.isNotNull())))
-    return errors.select(key, F.lit(part).alias("part"), "idx", F.col("e.code").alias("code"), F.col("e.field").alias("field"))
+def _checked(rows: Column, part: str, checks: Callable[[Column, Column], list[Column]]) -> Column:
+    """part, idx, code, field of every one of the checks that a row of the part fails."""
+    named = lambda i: lambda e: F.struct(F.lit(part).alias("part"), i.alias("idx"), e["code"].alias("code"), e["field"].alias("field"))
+    return F.flatten(F.transform(rows, lambda x, i: F.transform(F.filter(F.array(*checks(x, i)), lambda e: e.isNotNull()), named(i))))
+
+
+def _named(node: Column) -> Column:
+    return ~_blank(node["id"]) & ~_blank(node["type"])
+
+
+def violations(contract: Column) -> Column:
+    """Array of part, idx, code, field: every violation of one contract, as ``validate`` has them; empty for null.
+
+    A contract is one row, so its references are looked up in its own ids and no rows are moved.
+    """
+
+    def found(ids: Column) -> Column:
+        def node(x: Column, i: Column) -> list[Column]:
+            named, kind, weight = _named(x), x["type"], x["truth_weight"]
+            known = kind.isin(*NODE_IDS)
+            fits = reduce(lambda c, t: c.when(kind == t, x["id"].rlike(NODE_IDS[t])), list(NODE_IDS)[1:], F.when(kind == "LAW", x["id"].rlike(NODE_IDS["LAW"])))
+            bad_weight = (weight != F.floor(weight)) | (weight < 1) | (weight > 10)
+            return [
+                _error(_blank(x["id"]), "MISSING_REQUIRED_FIELD", "id"),
+                _error(~_blank(x["id"]) & _blank(kind), "MISSING_REQUIRED_FIELD", "type"),
+                _error(named & (F.array_position(ids, x["id"]) <= i), "DUPLICATE_NODE_ID", "id"),
+                _error(named & ~known, "INVALID_NODE_TYPE", "type"),
+                _error(named & known & ~fits, "INVALID_NODE_ID", "id"),
+                _error(named & _blank(x["title"]), "MISSING_REQUIRED_FIELD", "title"),
+                _error(named & _blank(x["content"]), "MISSING_REQUIRED_FIELD", "content"),
+                _error(named & (weight.isNull() | F.isnan(weight)), "MISSING_REQUIRED_FIELD", "truth_weight"),
+                _error(named & weight.isNotNull() & ~F.isnan(weight) & bad_weight, "INVALID_TRUTH_WEIGHT", "truth_weight"),
+            ]
+
+        def edge(x: Column, i: Column) -> list[Column]:
+            ends = []
+            for side in ("source_id", "target_id"):
+                given = ~_blank(x[side])
+                ends.append(_error(~given, "MISSING_REQUIRED_FIELD", side))
+                ends.append(_error(given & type_of(x[side]).isNull(), "INVALID_NODE_REFERENCE", side))
+                ends.append(_error(given & (F.array_position(ids, x[side]) == 0), "DANGLING_REFERENCE", side))
+            return [*ends, _error(x["edge_type"].isNull() | ~x["edge_type"].isin(*EDGE_TYPES), "INVALID_EDGE_TYPE", "edge_type")]
+
+        wrong = lambda c, p: c.isNull() | ~c.rlike(p)
+        outside = lambda c: c.isNull() | ~c.isin(*CATEGORIES)
+        return F.concat(
+            _checked(contract["nodes"], "nodes", node),
+            _checked(contract["edges"], "edges", edge),
+            _checked(contract["formulas"], "formulas", lambda x, i: [_error(wrong(x["id"], FORMULA_ID), "INVALID_FORMULA_ID", "id")]),
+            _checked(contract["constants"], "constants", lambda x, i: [_error(wrong(x["id"], CONSTANT_ID), "INVALID_CONSTANT_ID", "id"), _error(outside(x["category"]), "INVALID_CONSTANT_CATEGORY", "category")]),
+        )
+
+    none = F.array().cast("array<struct<part:string,idx:int,code:string,field:string>>")
+    # The id at the place of each declared node, null at the others.
+    return F.coalesce(_once(F.transform(contract["nodes"], lambda x: F.when(_named(x), x["id"])), found), none)
 
 
 def validate(contracts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -77,52 +138,16 @@ def validate(contracts: DataFrame, key: str = "doc_id") -> DataFrame:
     A node without id or type is not looked at further and is not declared; edges must end at declared nodes of the
     same contract. All violations are found, none hides another.
     """
-    nodes = _rows(contracts, "nodes", key)
-    named = ~_blank(F.col("id")) & ~_blank(F.col("type"))
-    declared = nodes.where(named).groupBy(key, "id").agg(F.min("idx").alias("first"))
-    joined = nodes.join(declared, [key, "id"], "left")
-    known = F.col("type").isin(*NODE_IDS)
-    fits = reduce(lambda c, t: c.when(F.col("type") == t, F.col("id").rlike(NODE_IDS[t])), list(NODE_IDS)[1:], F.when(F.col("type") == "LAW", F.col("id").rlike(NODE_IDS["LAW"])))
-    weight = F.col("truth_weight")
-    bad_weight = (weight != F.floor(weight)) | (weight < 1) | (weight > 10)
-    found = [
-        _checked(joined, "nodes", key, [
-            _error(_blank(F.col("id")), "MISSING_REQUIRED_FIELD", "id"),
-            _error(~_blank(F.col("id")) & _blank(F.col("type")), "MISSING_REQUIRED_FIELD", "type"),
-            _error(named & (F.col("first") < F.col("idx")), "DUPLICATE_NODE_ID", "id"),
-            _error(named & ~known, "INVALID_NODE_TYPE", "type"),
-            _error(named & known & ~fits, "INVALID_NODE_ID", "id"),
-            _error(named & _blank(F.col("title")), "MISSING_REQUIRED_FIELD", "title"),
-            _error(named & _blank(F.col("content")), "MISSING_REQUIRED_FIELD", "content"),
-            _error(named & (weight.isNull() | F.isnan(weight)), "MISSING_REQUIRED_FIELD", "truth_weight"),
-            _error(named & weight.isNotNull() & ~F.isnan(weight) & bad_weight, "INVALID_TRUTH_WEIGHT", "truth_weight"),
-        ])
-    ]
-    edges = _rows(contracts, "edges", key)
-    for side in ("source_id", "target_id"):
-        edges = edges.join(declared.select(key, F.col("id").alias(side), F.lit(True).alias(f"has_{side}")), [key, side], "left")
-    ends = []
-    for side in ("source_id", "target_id"):
-        given = ~_blank(F.col(side))
-        ends.append(_error(~given, "MISSING_REQUIRED_FIELD", side))
-        ends.append(_error(given & type_of(F.col(side)).isNull(), "INVALID_NODE_REFERENCE", side))
-        ends.append(_error(given & F.col(f"has_{side}").isNull(), "DANGLING_REFERENCE", side))
-    found.append(_checked(edges, "edges", key, [*ends, _error(F.col("edge_type").isNull() | ~F.col("edge_type").isin(*EDGE_TYPES), "INVALID_EDGE_TYPE", "edge_type")]))
-    wrong = lambda c, p: c.isNull() | ~c.rlike(p)
-    found.append(_checked(_rows(contracts, "formulas", key), "formulas", key, [_error(wrong(F.col("id"), FORMULA_ID), "INVALID_FORMULA_ID", "id")]))
-    outside = F.col("category").isNull() | ~F.col("category").isin(*CATEGORIES)
-    found.append(_checked(_rows(contracts, "constants", key), "constants", key, [_error(wrong(F.col("id"), CONSTANT_ID), "INVALID_CONSTANT_ID", "id"), _error(outside, "INVALID_CONSTANT_CATEGORY", "category")]))
-    return reduce(DataFrame.unionByName, found)
+    return contracts.select(key, F.explode(violations(F.col("contract"))).alias("e")).select(key, "e.*")
 
 
 def report(contracts: DataFrame, key: str = "doc_id", samples: int = 3) -> DataFrame:
     """One row for each contract: sizes of its arrays, number of violations, valid, and the first few as text."""
-    path = F.format_string("%s[%d].%s: %s", "part", "idx", "field", "code")
-    errors = validate(contracts, key).groupBy(key).agg(F.count("*").alias("n_errors"), F.array_sort(F.collect_list(path)).alias("all"))
     sizes = [F.size(f"contract.{p}").alias(f"n_{p}") for p in PARTS]
-    out = contracts.select(key, *sizes, F.col("contract").isNotNull().alias("parsed")).join(errors, key, "left")
-    n = F.coalesce("n_errors", F.lit(0))
-    return out.select(key, *[f"n_{p}" for p in PARTS], n.alias("n_errors"), (F.col("parsed") & (n == 0)).alias("valid"), F.slice(F.coalesce("all", F.array().cast("array<string>")), 1, samples).alias("samples"))
+    found = contracts.select(key, *sizes, F.col("contract").isNotNull().alias("parsed"), violations(F.col("contract")).alias("errors"))
+    n = F.size("errors").cast("long")
+    path = F.transform("errors", lambda e: F.format_string("%s[%d].%s: %s", e["part"], e["idx"], e["field"], e["code"]))
+    return found.select(key, *[f"n_{p}" for p in PARTS], n.alias("n_errors"), (F.col("parsed") & (n == 0)).alias("valid"), F.slice(F.sort_array(path), 1, samples).alias("samples"))
 
 
 def to_tables(contracts: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
