@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loam.catalogue import query, table
 from loam.functions import crypto, ieee, text
+from loam.functions.storage import materialize
 from loam.operators import constants, contract, etl, events, graph, rules
 from loam.plans import formula as fm
 
@@ -141,12 +142,12 @@ def contract_results(spark, sf):
 
 @query("""SELECT l_orderkey AS doc_id, 'CONCEPT-' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || ':CROSS_REF:CONCEPT-' || lpad(CAST(l_linenumber + 1 AS VARCHAR), 3, '0') AS id, count(*) AS n FROM lineitem GROUP BY 1, 2""")
 def contract_edges(spark, sf):
-    return contract.to_tables(_replies(spark, sf))["knowledge_edges"].groupBy("doc_id", "id").agg(F.count("*").alias("n"))
+    return contract.to_tables(materialize(_replies(spark, sf), "contracts"))["knowledge_edges"].groupBy("doc_id", "id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_orderkey AS doc_id, 'CONCEPT-' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') AS id, 't' AS name, CASE WHEN l_quantity > 45 THEN '' ELSE 'c' END AS description, count(*) AS n FROM lineitem GROUP BY ALL""")
 def contract_nodes(spark, sf):
-    return contract.to_tables(_replies(spark, sf))["knowledge_nodes"].groupBy("doc_id", "id", "name", "description").agg(F.count("*").alias("n"))
+    return contract.to_tables(materialize(_replies(spark, sf), "contracts"))["knowledge_nodes"].groupBy("doc_id", "id", "name", "description").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT batch_id, stage, CASE WHEN pos > k THEN 'skipped' WHEN pos = k THEN 'failed' ELSE 'success' END AS status
