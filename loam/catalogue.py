@@ -449,9 +449,8 @@ def token_hash(spark, sf):
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) WHERE rank <= 5 AND similarity >= 0.1""")
 def vector_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    found = events.top_similar(vectors, vectors.where("vec_id % 20 = 0"), floor=0.1)
-    # Sums in another order fall on either side of a half; the nudge puts them on one.
-    return found.withColumn("similarity", F.round(F.col("similarity") + 1e-9, 6))
+    # Sums in another order fall on either side of a half; the nudge puts them on one. Ranks go by what is left after rounding.
+    return events.top_similar(vectors, vectors.where("vec_id % 20 = 0"), floor=0.1, digits=6, nudge=1e-9)
 
 
 @query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")

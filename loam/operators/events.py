@@ -140,9 +140,11 @@ def without_limiter(environment: Column) -> Column:
 QUERY_BYTES, LABEL_PARTS = 64 << 20, 32
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.6, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.6, query_bytes: int = QUERY_BYTES, digits: int = 9, nudge: float = 0.0) -> DataFrame:
     """query_id, rank, vec_id, similarity: each query's ``k`` most similar vectors of its label, above ``floor``.
 
+    Similarities are rounded to ``digits``, ``nudge`` added before, and ranked as rounded; ties go by vec_id.
+
     ``vectors`` and ``queries`` have vec_id, embedding, label. The label is the filter that comes first. Queries are a
     stated set: while their measured bytes allow, they are broadcast, so vectors stay where they are and every task keeps
     the best of its own; beyond that each label's vectors are dealt into parts that all of its queries visit.
@@ -157,7 +159,7 @@ def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float
         parts = F.explode(F.sequence(F.lit(0), F.lit(LABEL_PARTS - 1)))
         pairs = v.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(LABEL_PARTS)).cast("int")).join(q.withColumn("part", parts), ["label", "part"])
     sim = F.try_divide(dot("asked", "embedding"), F.col("asked_norm") * F.col("norm"))
-    scored = pairs.where("query_id != vec_id").select("query_id", "vec_id", F.round(sim, 9).alias("similarity"))
+    scored = pairs.where("query_id != vec_id").select("query_id", "vec_id", F.round(sim + F.lit(nudge), digits).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return scored.where(F.col("similarity") >= floor).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from loam import catalogue
 from loam.operators import vectors
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -38,3 +39,11 @@ def test_against_all_pairs(spark, part):
 def test_nothing_there(spark):
     some, none = spark.createDataFrame([(1, [1.0, 0.0])], SCHEMA), spark.createDataFrame([], SCHEMA)
     assert vectors.nearest(none, some).collect() == [] and vectors.nearest(some, none).collect() == [] and vectors.nearest(some, some).collect() == []
+
+
+def test_ranks_go_by_rounded_similarity(spark, tmp_path):
+    """Similarities that differ behind the sixth decimal only are ties, which go by vec_id."""
+    rows = [(20, [1.0, 0.0], 1), (31, [1.0, 0.3000001], 1), (30, [1.0, 0.3000002], 1), (32, [1.0, 0.2], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["rank"], r.vec_id) for r in catalogue.QUERIES["vector_topk"](spark, str(tmp_path)).collect())
+    assert got == [(1, 32), (2, 30), (3, 31)]
