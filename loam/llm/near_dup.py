@@ -8,8 +8,8 @@ connects leave the task: at most one for each fingerprint and shard.
 
 A contract of similarity needs another search. Texts with a Jaccard similarity of 0.8 lie about 10 of 64 bits
 apart, with a spread of 3, so a radius that covers them leaves shards of three bits, which is all pairs. ``similar``
-finds its candidates by bands of MinHash values of five-word shingles instead, and checks each by the
-shingles themselves.
+takes the links of fingerprints of five-word shingles, adds what bands of MinHash values find farther apart, and checks each
+candidate by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -272,11 +272,22 @@ def candidates(sets: DataFrame) -> DataFrame:
     return every_pair(short, few).union(every_pair(fine, many)).union(star).where("a != b")
 
 
+def fingerprint_candidates(rows: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """a, b, size, b_size of ``sets`` (set_key, size, text_key): pairs whose fingerprints are equal or linked through the BK-trees of their shards."""
+    prints = fingerprints(rows, words).select("text_key", "fingerprint").distinct()
+    own = materialize(sets.join(prints, "text_key").select("set_key", "size", "fingerprint"), "set-prints")
+    heads = materialize(own.groupBy("fingerprint").agg(F.min(F.struct("set_key", "size")).alias("head")), "print-heads")
+    equal = own.join(heads, "fingerprint").select(F.col("set_key").alias("a"), F.col("head.set_key").alias("b"), "size", F.col("head.size").alias("b_size"))
+    links = shard_links(heads.select("fingerprint")).distinct()
+    near = links.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
+    return equal.union(near.select(F.col("x.set_key"), F.col("y.set_key"), F.col("x.size"), F.col("y.size"))).where("a != b")
+
+
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key (hash of the text), component_id of every row of ``docs``: the least doc_id reachable over texts that are similar.
 
     Similar are texts whose sets of ``words``-word shingles, A-Z lowered, have a Jaccard similarity of ``percent``
-    or more. Every link is checked by the hashes of all shingles. A pair at just 0.8 shares a band with
+    or more. Candidates are linked by fingerprint or share a band; every link is checked by the hashes of all shingles. A pair at just 0.8 shares a band with
     a probability over 0.999; groups of over PAIRED texts are divided by the longer key, where it is 0.99, and what is large even
     then is compared with one text of the group for each band. Wordless texts are similar to each other.
     """
@@ -285,7 +296,9 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = drawn.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("text_key").alias("text_key"))
     sets = materialize(sets, "sets")
     near = 100 * F.least("size", "b_size") >= percent * F.greatest("size", "b_size")
-    pairs = candidates(sets.where("size > 0").select("set_key", "size", "bands")).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    worded = sets.where("size > 0")
+    found = fingerprint_candidates(rows.select("doc_id", "text"), worded.select("set_key", "size", "text_key"), words).union(candidates(worded.select("set_key", "size", "bands")))
+    pairs = found.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
     wanted = sets.join(used, "set_key", "left_semi").select("set_key", "text_key")

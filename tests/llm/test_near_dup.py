@@ -147,3 +147,20 @@ def test_large_chained_group(spark):
     got = {r.doc_id: r.component_id for r in near_dup.similar(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     assert len(behind) > 400 and all(root(got[i]) == root(i) for i in got)
     assert sum(got[i] != i for i in behind) >= 0.99 * len(behind)
+
+
+def test_similar_texts_are_linked_by_fingerprint(spark, monkeypatch):
+    """What lies within three bits is found without the bands; what is not similar is not linked."""
+    draw = random.Random(5)
+    words = [f"w{draw.randrange(5000)}" for _ in range(600)]
+    base, copies = " ".join(words), []
+    own = near_dup.simhash(base.encode(), 5)
+    for k in range(600):
+        copy = " ".join([*words[:k], "changed", *words[k + 1 :]])
+        if (near_dup.simhash(copy.encode(), 5) ^ own).bit_count() <= 3:
+            copies.append(copy)
+    assert copies
+    other = " ".join(f"v{draw.randrange(5000)}" for _ in range(600))
+    monkeypatch.setattr(near_dup, "candidates", lambda sets: sets.select(sets.set_key.alias("a"), sets.set_key.alias("b"), "size", sets["size"].alias("b_size")).limit(0))
+    rows = spark.createDataFrame([(1, base), (2, copies[0]), (3, other)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.similar(rows, 5, 80).collect()} == {1: 1, 2: 1, 3: 3}
