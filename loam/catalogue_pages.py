@@ -22,8 +22,9 @@ def _pages(spark, sf, rewrite):
     lines = F.transform(F.split("text", "\n"), lambda raw, i: F.trim(rewrite(i, F.trim(F.regexp_replace(raw, "[^A-Za-z0-9]+", " ")))))
     docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", lines.alias("lines"))
     starts = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / PAGE_LINES).cast("int"))
-    pages = docs.select("doc_id", "lines", F.explode(starts).alias("page"))
-    return pages.select("doc_id", "page", F.array_join(F.slice("lines", F.col("page") * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n").alias("text"))
+    # Pages are cut before they become rows, or each would carry all lines of its document.
+    texts = F.transform(starts, lambda page: F.array_join(F.slice("lines", page * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n"))
+    return docs.select("doc_id", F.posexplode(texts).alias("page", "text"))
 
 
 @query(f"""WITH {_LINES},

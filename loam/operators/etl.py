@@ -7,6 +7,7 @@ document, so documents are what is dealt out to tasks.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -132,41 +133,52 @@ def exam_questions(pages: DataFrame) -> DataFrame:
         "doc_id", "page", "line", "text", asks.alias("number"), F.regexp_extract("text", r"^\s*\d{1,2}\.\s+(.+)", 1).alias("stem"), chosen.alias("choices"),
         F.when(asks.isNull() & chosen.isNull(), subject_of(F.col("text"))).alias("subject"),
     )
-    return lines.groupBy("doc_id").applyInPandas(_fold, QUESTION)
+    # Null doc_ids are one document, as in a grouping; a task folds its documents one after another, in one call.
+    return lines.repartition("doc_id").sortWithinPartitions("doc_id", "page", "line").mapInPandas(_fold, QUESTION)
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    out: list[dict] = []
-    subject, last, open_choice = "", 0, None
-    rows = rows.sort_values(["page", "line"])
-    for r in rows.itertuples():
-        now = out[-1] if out else None
-        if isinstance(r.subject, str):
-            subject = r.subject
-            continue
-        marked = list(r.choices) if r.choices is not None else []
-        if marked and now:
-            now["choices"] += [dict(c) for c in marked]
-            single = len(marked) == 1
-            open_choice = (now["choices"][-1] if single else None, marked[-1]["number"])
-            continue
-        n = None if pd.isna(r.number) else int(r.number)
-        if n is not None and (n in range(last + 1, last + 4) or (n == 1 and last > 1)):
-            out.append({"doc_id": r.doc_id, "subject": subject, "question": n, "stem": r.stem, "choices": [], "page": r.page, "skipped": n > last + 1, "answer": None})
-            last, open_choice = n, None
-            continue
-        if now is None:
-            continue
-        if open_choice is None:
-            now["stem"] += " " + r.text
-        elif open_choice[0] is None:  # behind a line of several choices: one more, with the last number
-            now["choices"].append({"number": open_choice[1], "text": r.text})
-            open_choice = (now["choices"][-1], open_choice[1])
-        else:
-            open_choice[0]["text"] += " " + r.text
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The questions of the documents in sorted lines; only what belongs to the last document waits for the next batch."""
     columns = [c.split()[0] for c in QUESTION.split(", ")]
-    frame = pd.DataFrame(out, columns=columns)
-    return frame.astype({"answer": "Int32"}) if len(frame) else frame
+    frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "answer": "Int32"})
+    own, out = None, []
+    subject, last, open_choice = "", 0, None
+    for rows in batches:
+        done: list[dict] = []
+        ids = [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
+        for doc, page, text, number, stem, choices, said in zip(ids, *(rows[c].tolist() for c in ("page", "text", "number", "stem", "choices", "subject")), strict=True):
+            if own is None or doc != own[0]:
+                done += out
+                own, out = (doc,), []
+                subject, last, open_choice = "", 0, None
+            now = out[-1] if out else None
+            if isinstance(said, str):
+                subject = said
+                continue
+            marked = list(choices) if choices is not None else []
+            if marked and now:
+                now["choices"] += [dict(c) for c in marked]
+                single = len(marked) == 1
+                open_choice = (now["choices"][-1] if single else None, marked[-1]["number"])
+                continue
+            n = None if pd.isna(number) else int(number)
+            if n is not None and (n in range(last + 1, last + 4) or (n == 1 and last > 1)):
+                out.append({"doc_id": doc, "subject": subject, "question": n, "stem": stem, "choices": [], "page": page, "skipped": n > last + 1, "answer": None})
+                last, open_choice = n, None
+                continue
+            if now is None:
+                continue
+            if open_choice is None:
+                now["stem"] += " " + text
+            elif open_choice[0] is None:  # behind a line of several choices: one more, with the last number
+                now["choices"].append({"number": open_choice[1], "text": text})
+                open_choice = (now["choices"][-1], open_choice[1])
+            else:
+                open_choice[0]["text"] += " " + text
+        if done:
+            yield frame(done)
+    if out:
+        yield frame(out)
 
 
 def question_warnings(questions: DataFrame) -> DataFrame:
