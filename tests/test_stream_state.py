@@ -67,3 +67,32 @@ def test_too_late_is_dropped(spark):
     stream = streams.arriving(frame, F.col("part"), len(rows))
     got = streams.drain(state.expired_sessions(stream, "s", "ts", "ends", "stop", "1 hour")).collect()
     assert sorted(r.session for r in got) == ["a", "b"]
+
+
+def test_nothing_is_called_for_a_key(spark):
+    """Sessions and slots are windows of Spark's own; Python sees neither their rows nor their keys."""
+    rows = spark.readStream.format("rate").load().select(F.col("value").cast("string").alias("s"), F.col("timestamp").alias("ts"), F.lit("failed").alias("status"))
+    ordered = state.ordered_violations(rows, "s", "ts", "s", "status").stream
+    sessions = state.expired_sessions(rows.withColumn("stop", F.lit(False)), "s", "ts", "ts", "stop")
+    for stream in (ordered, sessions):
+        plan = stream._jdf.queryExecution().analyzed().toString()
+        assert "Aggregate" in plan and "Pandas" not in plan and "Python" not in plan
+
+
+def test_final_is_what_is_before_the_watermark(spark):
+    """A slot and a session that end at the watermark itself are not final; those a millisecond before it are."""
+    state.prepare(spark)
+    end = START + dt.timedelta(hours=1)
+    for late, told in ((0, []), (1, ["a"])):
+        last = end + dt.timedelta(hours=1, milliseconds=late)
+        rows = [("a", START, end, False, "failed", 0), ("b", last, last + dt.timedelta(days=1), False, "failed", 1)]
+        uses = spark.createDataFrame(rows, "s string, ts timestamp, ends timestamp, stop boolean, status string, part int")
+        assert [r.session for r in streams.drain(state.expired_sessions(streams.arriving(uses, F.col("part"), 2), "s", "ts", "ends", "stop")).collect()] == told
+
+
+def test_batches_of_several_files(spark):
+    """Each batch holds its group, whole and in turn, also where the groups have different numbers of files."""
+    rows = spark.createDataFrame([(n, k) for k, size in enumerate((95, 3, 0, 40)) for n in range(size)], "n int, part int")
+    seen, stream = [], streams.arriving(rows, F.col("part"), 4, file_rows=10)
+    stream.writeStream.foreachBatch(lambda batch, _: seen.append((batch.rdd.getNumPartitions() > 1, sorted({r.part for r in batch.collect()}), batch.count()))).trigger(availableNow=True).start().awaitTermination()
+    assert [x[1:] for x in seen] == [([0], 95), ([1], 3), ([], 0), ([3], 40)]
