@@ -85,7 +85,8 @@ def tables(pages: DataFrame) -> DataFrame:
     n_rows counts the header; ragged counts rows of another width. Tables without a row, or with a header
     without cells, are dropped.
     """
-    flat = pages.select("doc_id", "page", F.posexplode("tables").alias("table_index", "t")).where("size(t) > 0 AND size(t[0]) > 0")
+    # The outer form, since for the other Spark infers a filter on its input and computes all of that once more, for each table.
+    flat = pages.select("doc_id", "page", F.posexplode_outer("tables").alias("table_index", "t")).where("size(t) > 0 AND size(t[0]) > 0")
     cleaned = F.transform("t", lambda r: F.transform(r, clean_cell))
     flat = flat.withColumn("t", cleaned).withColumns({"headers": F.get("t", 0), "rows": F.slice("t", 2, 1_000_000_000)})
     ragged = F.size(F.filter("rows", lambda r: F.size(r) != F.size("headers")))
