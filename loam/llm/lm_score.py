@@ -122,9 +122,10 @@ class Parameters:
 
     def _add(self, table: np.ndarray, power: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
         """Adagrad on the given rows; the gradients of a row that comes again are summed."""
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])
-        at, total = rows[order][first], np.add.reduceat(gradient[order], first, axis=0)
+        order = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")  # short numbers are sorted by radix
+        sorted_rows = rows[order]
+        first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+        at, total = sorted_rows[first], np.add.reduceat(gradient[order], first, axis=0)
         power[at] += total**2
         table[at] += rate * total / np.sqrt(power[at])
 
@@ -172,30 +173,42 @@ class Parameters:
                 table += rate / 10 * gradient / np.sqrt(own)
 
     def log_probabilities(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, room: int = 1 << 20) -> np.ndarray:
-        """log P(word) after the words ``one`` (last) and ``two``, in batches of matrix products with about ``room`` entries."""
+        """log P(word) after the words ``one`` (last) and ``two``, in batches of matrix products with about ``room`` entries.
 
-        def normalised(h: np.ndarray, table: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+        The classes' normaliser depends on the two words before only, so it is computed once for each pair of them.
+        """
+
+        def normaliser(h: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
             out, size = np.empty(len(h), np.float32), max(room // max(len(bias), 1), 1)
             for i in range(0, len(h), size):
-                odds = h[i : i + size] @ table.T + bias
+                odds = h[i : i + size] @ table.T
+                odds += bias
                 top = odds.max(1)
-                true = odds[np.arange(len(odds)), own[i : i + size]]
                 odds -= top[:, None]
-                out[i : i + size] = true - top - np.log(np.exp(odds, out=odds).sum(1))
+                out[i : i + size] = top + np.log(np.exp(odds, out=odds).sum(1))
             return out
 
+        def own(h: np.ndarray, table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            return np.einsum("nd,nd->n", h, table[rows]) + bias[rows]
+
         v, log = self.vocabulary, np.empty(len(word))
         kind = v.of[word]
-        order = np.argsort(kind, kind="stable")
+        left, right = self.r @ self.c1, self.r @ self.c2
+        for i in range(0, len(word), 1 << 20):
+            some = slice(i, i + (1 << 20))
+            pairs, which = np.unique(one[some].astype(np.int64) * len(v.share) + two[some], return_inverse=True)
+            h = left[pairs // len(v.share)] + right[pairs % len(v.share)]
+            total = normaliser(h, self.u, self.a)
+            for j in range(0, len(which), 1 << 16):
+                at, part = slice(i + j, min(i + j + (1 << 16), i + len(which))), which[j : j + (1 << 16)]
+                log[at] = own(h[part], self.u, self.a, kind[at]) - total[part]
+        order = np.argsort(kind.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(len(v.class_share) + 1))
-        for i in range(0, len(word), 1 << 16):
-            some = slice(i, i + (1 << 16))
-            log[some] = normalised(self.r[one[some]] @ self.c1 + self.r[two[some]] @ self.c2, self.u, self.a, kind[some])
         for c in np.flatnonzero(np.diff(v.edges) > 1):
             rows, low, high = order[cuts[c] : cuts[c + 1]], v.edges[c], v.edges[c + 1]
             if len(rows):
-                h = self.r[one[rows]] @ self.c1 + self.r[two[rows]] @ self.c2
-                log[rows] += normalised(h, self.q[low:high], self.b[low:high], word[rows] - low)
+                h, table, bias = left[one[rows]] + right[two[rows]], self.q[low:high], self.b[low:high]
+                log[rows] += own(h, table, bias, word[rows] - low) - normaliser(h, table, bias)
         return log
 
 
