@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.crypto import hmac_sha256_hex, same_hex, too_large
+from loam.functions.storage import materialize
 from loam.functions.text import mask_nested, redact_homes
+from loam.operators.vectors import QUERY_BYTES, VECTOR_BYTES, most_similar
 
 # Seconds after a rotation in which a replay is harmless, days a session lives, and days of a mature card.
 GRACE_SECONDS, SESSION_DAYS, MATURE_DAYS = 60, 30, 21
@@ -136,32 +138,32 @@ def without_limiter(environment: Column) -> Column:
     return F.when(environment.isin("production", "staging"), "deny").otherwise("allow")
 
 
-#: Bytes of stated queries that a broadcast may hold, and parts of a label where they are shuffled instead.
-QUERY_BYTES, LABEL_PARTS = 64 << 20, 32
-
-
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.6, query_bytes: int = QUERY_BYTES, digits: int = 9, nudge: float = 0.0) -> DataFrame:
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.6, digits: int = 9, nudge: float = 0.0, vector_bytes: int = VECTOR_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, similarity: each query's ``k`` most similar vectors of its label, above ``floor``.
 
     Similarities are rounded to ``digits``, ``nudge`` added before, and ranked as rounded; ties go by vec_id.
 
-    ``vectors`` and ``queries`` have vec_id, embedding, label. The label is the filter that comes first. Queries are a
-    stated set: while their measured bytes allow, they are broadcast, so vectors stay where they are and every task keeps
-    the best of its own; beyond that each label's vectors are dealt into parts that all of its queries visit.
+    ``vectors`` and ``queries`` have vec_id, embedding, label. The label is the filter that comes first; embeddings of another length are never
+    similar. A label's vectors and its queries are dealt into parts of bounded bytes; every two parts meet in a task of their own, which
+    multiplies them as matrices and keeps the ``k`` best of each query. All pairs of a label are compared, so the work grows with their number.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select("vec_id", "label", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
-    q = queries.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("asked"), F.sqrt(dot("embedding", "embedding")).alias("asked_norm"))
-    held = queries.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
-    if held <= query_bytes:
-        pairs = v.join(F.broadcast(q), "label")
-    else:
-        parts = F.explode(F.sequence(F.lit(0), F.lit(LABEL_PARTS - 1)))
-        pairs = v.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(LABEL_PARTS)).cast("int")).join(q.withColumn("part", parts), ["label", "part"])
-    sim = F.try_divide(dot("asked", "embedding"), F.col("asked_norm") * F.col("norm"))
-    scored = pairs.where("query_id != vec_id").select("query_id", "vec_id", F.round(sim + F.lit(nudge), digits).alias("similarity"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    # A norm of null or zero gives no similarity, a NaN one does: it ranks first.
+    directed = lambda rows: rows.select("vec_id", "label", "embedding", F.size("embedding").alias("width"), norm.alias("norm")).where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.col("norm") > 0))
+    held, asked = directed(vectors), directed(queries).withColumnRenamed("vec_id", "query_id")
+    parts = lambda rows, most, name: rows.groupBy("label", "width").agg(F.ceil(F.count("*") * F.col("width") * 8 / most).cast("int").alias(name))
+    sizes = materialize(parts(held, vector_bytes, "parts").join(parts(asked, query_bytes, "blocks"), ["label", "width"]), "labels")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    unit = ["label", "width", "part", "block"]
+    held = held.join(sizes, ["label", "width"]).select("label", "width", own("vec_id", "parts").alias("part"), every("blocks").alias("block"), "vec_id", "embedding", "norm")
+    asked = asked.join(sizes, ["label", "width"]).select("label", "width", every("parts").alias("part"), own("query_id", "blocks").alias("block"), "query_id", "embedding", "norm")
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of its own, where both sides come from one table
+    names = {"query_id": asked, "vec_id": held}
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c, rows in names.items()) + ", similarity double"
+    best = asked.groupBy(*unit).cogroup(held.groupBy(*unit)).applyInArrow(most_similar(k, floor, digits, nudge), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return scored.where(F.col("similarity") >= floor).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 
 
 def by_truth(similar: DataFrame, nodes: DataFrame) -> DataFrame:

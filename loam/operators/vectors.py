@@ -24,6 +24,8 @@ SAMPLE, CELLS, PASSES = 20_000, 1024, 8
 PART, CHUNK, PROBES = 8_000, 256, 3
 #: Angles closer than this count as equal where a cell is left out; similarities are told apart to six decimals.
 SLACK = 2e-3
+#: Bytes, as doubles, of the vectors and of the queries that one task compares where all pairs of a label are.
+VECTOR_BYTES, QUERY_BYTES = 2 << 20, 8 << 20
 
 FOUND = "query_id long, vec_id long, similarity double"
 
@@ -103,6 +105,41 @@ def _search(k: int, floor: float):
     return run
 
 
+def most_similar(k: int, floor: float, digits: int, nudge: float):
+    """query_id, vec_id, similarity: for each query the ``k`` vectors of greatest cosine, rounded to ``digits``, ``floor`` or more, but itself; ties go by vec_id.
+
+    Queries and vectors have embedding, all of one length, and norm. NaN is the greatest.
+    """
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out = []
+        if queries.num_rows and vectors.num_rows:
+            vectors = vectors.sort_by("vec_id")
+            ids, norms, held = vectors["vec_id"].to_numpy(), vectors["norm"].to_numpy(), _matrix(vectors["embedding"].combine_chunks())
+            for at in range(0, queries.num_rows, CHUNK):
+                some = queries.slice(at, CHUNK)
+                own = some["query_id"].to_numpy()
+                with np.errstate(all="ignore"):
+                    near = _matrix(some["embedding"].combine_chunks()) @ held.T
+                    near = np.round(near / (some["norm"].to_numpy()[:, None] * norms) + nudge, digits)
+                near[np.isnan(near)] = np.inf
+                near[(own[:, None] == ids) | (near < floor)] = -np.inf
+                # The k-th best bounds what counts; of the ties at the bound the least ids, which come first, are kept.
+                least = np.partition(near, -k, axis=1)[:, -k, None] if k < len(ids) else -np.inf
+                row, column = np.nonzero((near >= least) & (near > -np.inf))
+                order = np.lexsort((column, -near[row, column], row))
+                row, column = row[order], column[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, column = row[first], column[first]
+                got = near[row, column]
+                out.append((own[row], ids[column], np.where(got == np.inf, np.nan, got)))
+        names = {"query_id": queries, "vec_id": vectors}
+        columns = [pa.array(np.concatenate([x[i] for x in out]) if out else [], rows.schema.field(c).type) for i, (c, rows) in enumerate(names.items())]
+        return pa.table([*columns, pa.array(np.concatenate([x[2] for x in out]) if out else [], pa.float64())], names=[*names, "similarity"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.6, sample: int = SAMPLE, cells: int = CELLS, part: int = PART, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, similarity: the ``k`` vectors of greatest cosine to each query but itself, ``floor`` or more.
 

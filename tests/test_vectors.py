@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from loam import catalogue
-from loam.operators import vectors
+from loam.operators import events, vectors
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -47,3 +47,28 @@ def test_ranks_go_by_rounded_similarity(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted((r["rank"], r.vec_id) for r in catalogue.QUERIES["vector_topk"](spark, str(tmp_path)).collect())
     assert got == [(1, 32), (2, 30), (3, 31)]
+
+
+def test_top_similar_in_parts(spark):
+    """Labels of several parts and blocks, equal vectors across them, zero, null and NaN ones, null labels and other lengths; pairs are no rows."""
+    draw = np.random.default_rng(4)
+    points = [(i, [float(np.float32(x)) for x in draw.normal(size=8)], 0 if i % 3 else i % 7) for i in range(600)]
+    points += [(1000 + 10 * i, points[20][1], points[20][2]) for i in range(30)]
+    points += [(2000, [0.0] * 8, 0), (2020, None, 0), (2040, [None] * 8, 0), (2060, points[0][1], None), (2080, [float("nan")] * 8, 3), (2100, points[0][1][:5], 0), (2101, points[1][1][:5], 0)]
+    frame = spark.createDataFrame(points, "vec_id long, embedding array<float>, label int")
+    asked = frame.where("vec_id % 20 = 0")
+    want = []
+    for q, a, label in points:
+        if q % 20 == 0 and a and None not in a and label is not None and any(a):
+            near = []
+            for v, b, other in points:
+                if v != q and other == label and b and None not in b and any(b) and len(a) == len(b):
+                    x, y = np.array(a), np.array(b)
+                    near.append((float(np.round(x @ y / np.sqrt((x @ x) * (y @ y)) + 1e-9, 6)), v))
+            near = sorted(((s, v) for s, v in near if not s < 0.1), key=lambda t: (-(np.inf if np.isnan(t[0]) else t[0]), t[1]))[:5]
+            want += [(q, r + 1, v, str(s)) for r, (s, v) in enumerate(near)]
+    for limits in ({}, {"vector_bytes": 2000, "query_bytes": 700}):
+        got = events.top_similar(frame, asked, 5, 0.1, digits=6, nudge=1e-9, **limits)
+        assert sorted((r.query_id, r["rank"], r.vec_id, str(r.similarity)) for r in got.collect()) == sorted(want)
+        assert "zip_with" not in got._jdf.queryExecution().toString()
+    assert events.top_similar(frame.limit(0), asked).collect() == [] and events.top_similar(frame, asked.limit(0)).collect() == []
