@@ -164,3 +164,87 @@ def test_similar_texts_are_linked_by_fingerprint(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "candidates", lambda sets: sets.select(sets.set_key.alias("a"), sets.set_key.alias("b"), "size", sets["size"].alias("b_size")).limit(0))
     rows = spark.createDataFrame([(1, base), (2, copies[0]), (3, other)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dup.similar(rows, 5, 80).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def similar_classes(texts, percent=80, words=5):
+    """The least index reachable over texts of a Jaccard similarity of ``percent`` or more, by all pairs."""
+    sets = [{tuple(t[k : k + words]) for k in range(len(t) - words + 1)} for t in texts]
+    least = list(range(len(sets)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if 100 * shared >= percent * (len(a) + len(sets[j]) - shared):
+                x, y = sorted((root(i), root(j)))
+                least[y] = x
+    return {i: root(i) for i in range(len(sets))}
+
+
+def found_classes(spark, texts):
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in near_dup.similar(rows, 5, 80).collect()}
+
+
+def test_similar_chain_within_the_radius(spark, monkeypatch):
+    """Texts that drift apart while their fingerprints stay in one shard: no link of the chain is lost, without the bands."""
+    monkeypatch.setattr(near_dup, "candidates", lambda sets: sets.select(sets.set_key.alias("a"), sets.set_key.alias("b"), "size", sets["size"].alias("b_size")).limit(0))
+    draw = random.Random(6)
+    texts = [[f"w{draw.randrange(9000)}" for _ in range(500)]]
+    prints = [near_dup.simhash(" ".join(texts[0]).encode(), 5)]
+    for place in draw.sample(range(0, 500, 5), 40):
+        tries = [[*texts[-1][:place], f"x{place}-{k}", *texts[-1][place + 1 :]] for k in range(40)]
+        texts.append(min(tries, key=lambda c: ((near_dup.simhash(" ".join(c).encode(), 5) ^ prints[0]).bit_count(), c[place])))
+        prints.append(near_dup.simhash(" ".join(texts[-1]).encode(), 5))
+    whole = [" ".join(t) for t in texts]
+    assert all(any((prints[i] ^ prints[j]).bit_count() <= 3 and jaccard(whole[i], whole[j]) >= 0.8 for j in range(i)) for i in range(1, 41)) and jaccard(whole[0], whole[-1]) < 0.5
+    want = similar_classes(texts)
+    assert set(want.values()) == {0} and found_classes(spark, texts) == want
+
+
+def test_similar_in_large_groups(spark, monkeypatch):
+    """Copies of copies in groups far over what is compared in pairs at once, in many parts: classes are those of all pairs."""
+    monkeypatch.setattr(near_dup, "PAIRED", 4)
+    monkeypatch.setattr(near_dup, "BLOCK", 64, raising=False)
+    draw = random.Random(1)
+    texts = [[f"w{draw.randrange(5000)}" for _ in range(60)]]
+    while len(texts) < 500:
+        copy = list(draw.choice(texts))
+        for _ in range(draw.randint(1, 2)):
+            copy[draw.randrange(60)] = f"w{draw.randrange(5000)}"
+        texts.append(copy)
+    draw.shuffle(texts)
+    want = similar_classes(texts)
+    assert 100 < len(set(want.values())) < 400
+    assert found_classes(spark, texts) == want
+
+
+def test_apart_in_bands(spark, monkeypatch):
+    """Every similar pair of two labels of a large group is a candidate, in any part; pairs of one label and of small groups are not."""
+    monkeypatch.setattr(near_dup, "PAIRED", 5)
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    draw, sets = np.random.default_rng(2), []
+    base = draw.integers(0, 1 << 62, 60)
+    for k in range(40):
+        changed = draw.choice(60, draw.integers(0, 10), replace=False)
+        own = base.copy()
+        own[changed] = draw.integers(0, 1 << 62, len(changed))
+        sets.append(set(own.tolist()))
+    parity = []
+    for own in sets:
+        bits = [0] * near_dup.PARITY
+        for key in own:
+            bits[key % (64 * near_dup.PARITY) >> 6] ^= 1 << (key & 63)
+        parity.append(np.array(bits, np.uint64).view(np.int64).tolist())
+    banded = spark.createDataFrame([(1, k, len(s), 40) for k, s in enumerate(sets)] + [(2, k, len(sets[k]), 5) for k in range(5)], "band long, set_key long, size int, n long")
+    bits = spark.createDataFrame(list(enumerate(parity)), "set_key long, bits array<long>")
+    labels = spark.createDataFrame([(k, k // 3) for k in range(40)], "set_key long, label long")
+    must = {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 3 != b // 3 and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    got = {(r.a, r.b) for r in near_dup.apart_in_bands(banded, bits, labels, 80, False).collect()}
+    near = {(r.a, r.b) for r in near_dup.apart_in_bands(banded, bits, labels, 80, True).collect()}
+    assert must and must <= got and near <= got and len(near) < len(got) and all(a // 3 != b // 3 for a, b in got) and len(got) < 40 * 39 / 2
+    assert near_dup.apart_in_bands(banded, bits, labels.selectExpr("set_key", "1L AS label"), 80, False).count() == 0
